@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm import bpe, kneser_ney, mpegts, packing, sharding, simhash
+from veilspan.llm import bpe, kneser_ney, linedup, mih, mpegts, packing, quality, sharding, simhash, toxicity
 from veilspan.llm.common import fold, read_table
 
 SHARDS = 16
+#: A text is toxic from the first score on, and good enough from the second on.
+TOXIC, GOOD = 0.5, 0.3
 
 
 def _tokenizer(name: str) -> str:
@@ -41,12 +43,32 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(pieces, path).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "boundary")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = simhash.near_duplicates(docs, radius=4, width=4, seed=42)
     return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.nearest(read_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return out.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_mpegts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.digests(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -60,7 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_kneser_ney": op2_kneser_ney,
     "op3_packing": op3_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_simhash": op5_simhash,
+    "op6_multi_index": op6_multi_index,
+    "op7_quality": op7_quality,
+    "op8_line_dedup": op8_line_dedup,
     "op9_mpegts": op9_mpegts,
     "op10_bpe": op10_bpe,
 }
