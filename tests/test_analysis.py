@@ -90,8 +90,16 @@ def test_redact(spark, kind, text, want, count):
     r = R.redact(docs, kind=kind).first()
     assert (r["text"], r["redaction_count"]) == (want, count)
     assert r["warnings"] == ([] if text else ["warning.noText"])
-    if text:
-        assert R.redact_one(text, kind=kind)[0] == want
+    assert tuple(R.redact_long(docs, kind=kind).first()) == tuple(r)
+
+
+def test_one_pass_and_long_form_agree(spark):
+    texts = ['Zora ("Client") met Ana Souza ("Ana") a@b.co. The Client and ana  SOUZA, Ana.', "Bo a@b.co x@y.zz\r\nA@B.CO", "(the “a@b.co”) a@b.co", "", None, '+1 (212) 555-0199 "x"', "Ana Souza🙂"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = dictionary({"Ana Souza": ("private_person", 0.9), "Client": ("private_person", 0.8), "Souza": ("private_person", 0.95), "Bo": ("secret", 0.3)})
+    find = lambda text: model(text) + find_patterns(text)
+    one = {tuple(map(str, r)) for r in R.redact(docs, find).collect()}
+    assert one == {tuple(map(str, r)) for r in R.redact_long(docs, find).collect()}
 
 
 def test_review_then_apply(spark):

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import text as X
 from veilspan.functions.dimensions import ALIAS_WINDOW, APPLY_SCORE, MIN_TOKEN
-from veilspan.operators.spans import absorb_nested, merge_ranges, with_value
+from veilspan.operators.spans import absorb_nested, merged_values, with_value
 
 READING = ("doc_id", "unit_no", "reading_no")
-SPAN_COLUMNS = [*READING, "start", "end", "label", "score"]
+SPAN_COLUMNS = [*READING, "start", "end", "label", "score", "value"]
 
 
 def as_readings(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -50,14 +50,14 @@ def repeats(tokens_: DataFrame, readings: DataFrame) -> DataFrame:
                     rx = regex.compile(r"(?<![\p{L}\p{N}])" + space.join(map(regex.escape, t["token"].split(" "))) + r"(?![\p{L}\p{N}])", regex.IGNORECASE)
                     for m in rx.finditer(text or ""):
                         found[m.span()] = (t["label"], t["score"])
-                rows_ = [(s, e, *found[s, e]) for s, e in sorted(found)]
+                rows_ = [(s, e, *found[s, e], text[s:e]) for s, e in sorted(found)]
                 out += rows_
                 at += [i] * len(rows_)
             held = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(b[k].take(held) for k in READING), *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.float64())))], SPAN_COLUMNS)
+            yield pa.RecordBatch.from_arrays([*(b[k].take(held) for k in READING), *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string())))], SPAN_COLUMNS)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in readings.select(*READING).schema.fields)
-    return rows.mapInArrow(run, f"{fields}, start int, end int, label string, score double")
+    return rows.mapInArrow(run, f"{fields}, start int, end int, label string, score double, value string")
 
 
 #: A term that a document defines for itself: (the "Client"). Fixed value; group 1 is the term.
@@ -96,14 +96,15 @@ def drop_terms(spans: DataFrame, terms: DataFrame, readings: DataFrame) -> DataF
 
 def reconcile(spans: DataFrame, readings: DataFrame) -> DataFrame:
     """Detected spans and repeats, without defined terms. Terms come from what was detected, repeats join before they go."""
-    every = spans.select(*SPAN_COLUMNS).unionByName(repeats(tokens(spans, readings), readings))
+    spans = with_value(spans, readings.select(*READING, "text"), READING).select(*SPAN_COLUMNS)
+    every = spans.unionByName(repeats(tokens(spans, readings), readings))
     return drop_terms(every, defined_terms(spans, readings), readings)
 
 
 def marks_by_position(spans: DataFrame, readings: DataFrame) -> DataFrame:
     """Typed readings: nested spans absorbed, each place a decision of its own."""
-    kept = absorb_nested(spans.select(*SPAN_COLUMNS), READING)
-    kept = with_value(kept.join(readings.where(~F.col("is_scan")).select(*READING, "page"), list(READING)), readings.select(*READING, "text"), READING)
+    spans = with_value(spans, readings.select(*READING, "text"), READING).select(*SPAN_COLUMNS)
+    kept = absorb_nested(spans, READING).join(readings.where(~F.col("is_scan")).select(*READING, "page"), list(READING))
     ident = F.concat(F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit(":"), F.col("start"), F.lit("-"), F.col("end"), F.lit(":"), F.col("label"))
     return kept.withColumn("detection_id", ident)
 
@@ -111,7 +112,7 @@ def marks_by_position(spans: DataFrame, readings: DataFrame) -> DataFrame:
 def marks_by_value(spans: DataFrame, readings: DataFrame) -> DataFrame:
     """Scans: a value is one decision, whichever reading shows it; a place is marked once for a value."""
     scans = readings.where("is_scan").select(*READING, "page", "text")
-    v = with_value(spans.select(*SPAN_COLUMNS), scans.select(*READING, "text"), READING).join(scans.select(*READING, "page"), list(READING))
+    v = with_value(spans, scans.select(*READING, "text"), READING).select(*SPAN_COLUMNS).join(scans.select(*READING, "page"), list(READING))
     ident = F.concat(F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit(":"), F.col("label"), F.lit(":"), X.value_key(F.col("value")))
     v = v.withColumn("detection_id", ident)
     return v.groupBy(*READING, "page", "start", "end", "label", "value", "detection_id").agg(F.max("score").alias("score"))
@@ -148,6 +149,6 @@ def kept(marks_: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def redaction_counts(kept_: DataFrame, readings: DataFrame) -> DataFrame:
     """(doc_id, redaction_count): of a unit's readings a value counts as often as in the one that shows it most."""
-    merged = with_value(merge_ranges(kept_, READING), readings.select(*READING, "text"), READING)
+    merged = merged_values(with_value(kept_, readings.select(*READING, "text"), READING), READING)
     each = merged.groupBy(*READING, X.value_key(F.col("value")).alias("key")).count()
     return each.groupBy("doc_id", "unit_no", "key").agg(F.max("count").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("redaction_count"))

@@ -19,7 +19,8 @@ def absorb_nested(spans: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = spans.withColumn("__new", F.when(F.col("end") <= reach, 0).otherwise(1))
     rows = rows.withColumn("__group", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*by, "label", "__group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score")).drop("__group")
+    own = [F.min_by("value", F.struct("start", -F.col("end"))).alias("value")] if "value" in spans.columns else []
+    return rows.groupBy(*by, "label", "__group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), *own).drop("__group")
 
 
 def _islands(spans: DataFrame, keys: tuple[str, ...], touching: bool) -> DataFrame:
@@ -35,6 +36,15 @@ def merge_ranges(spans: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     return _islands(spans, by, True).groupBy(*by, "__group").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__group")
 
 
+def merged_values(spans: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
+    """merge_ranges with ``value``, put together from the spans' own values: together they cover all of the range."""
+    rows = _islands(spans, by, True).groupBy(*by, "__group").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("__all"))
+    begin = F.struct(F.get("__all", F.lit(0))["start"].alias("end"), F.lit("").alias("value"))
+    more = lambda acc, s: F.substr(s["value"], F.greatest(acc["end"] - s["start"], F.lit(0)) + 1)
+    joined = F.aggregate("__all", begin, lambda acc, s: F.struct(F.greatest(acc["end"], s["end"]).alias("end"), F.concat(acc["value"], more(acc, s)).alias("value")))
+    return rows.select(*by, F.get("__all", F.lit(0))["start"].alias("start"), joined.alias("m")).select(*by, "start", "m.end", "m.value")
+
+
 def merge_same_label(spans: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:
     """Union of overlapping spans of a label, as the scorer wants it; those that only touch stay apart."""
     out = _islands(spans, (*by, "label"), False).groupBy(*by, "label", "__group")
@@ -68,7 +78,9 @@ def suppress_overlaps(candidates: DataFrame, by: tuple[str, ...] = BY, most: int
 
 
 def with_value(spans: DataFrame, texts: DataFrame, by: tuple[str, ...] = BY, text: str = "text") -> DataFrame:
-    """Spans with ``value``, the characters they cover."""
+    """Spans with ``value``, the characters they cover; no join if they have it."""
+    if "value" in spans.columns:
+        return spans
     return spans.join(texts.select(*by, F.col(text).alias("__text")), list(by)).withColumn("value", slice_of(F.col("__text"), "start", "end")).drop("__text")
 
 

@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from veilspan.functions.dimensions import APPLY_SCORE
 from veilspan.functions.text import WS, is_masked
 from veilspan.operators.extract import Detect, spans_by
-from veilspan.operators.spans import with_value
 
 
 def leaks(visible: DataFrame, find: Detect, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Confident spans over more than mask. ``find`` is the raw detector, without field names."""
     seen = visible.where(~F.col(text).rlike(f"^[{WS}]*$"))
-    spans = spans_by(seen, find, text, keep).where(F.col("score") >= APPLY_SCORE)
-    return with_value(spans, visible.select(*keep, text), keep, text).where(~is_masked(F.col("value")))
+    return spans_by(seen, find, text, keep, value=True).where(F.col("score") >= APPLY_SCORE).where(~is_masked(F.col("value")))
 
 
 def verified(visible: DataFrame, find: Detect, text: str = "text", keep: tuple[str, ...] = ("doc_id",), warnings: str = "warnings") -> DataFrame:

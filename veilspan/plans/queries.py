@@ -123,7 +123,7 @@ def q09_mask_documents(spark, d):
 @query(f"SELECT doc_id, count(*) AS redaction_count FROM ({_DOC_RANGES}) GROUP BY doc_id")
 def q10_redaction_count(spark, d):
     readings = A.as_readings(_docs(spark, d))
-    marks = A.marks(spans_by(readings, find_patterns, keep=A.READING), readings)
+    marks = A.marks(spans_by(readings, find_patterns, keep=A.READING, value=True), readings)
     return A.redaction_counts(marks, readings)
 
 
@@ -134,13 +134,13 @@ _TOKENS = f"""SELECT doc_id, key, token, label, score FROM (SELECT *, row_number
 @query(_TOKENS)
 def q11_repeat_tokens(spark, d):
     readings = A.as_readings(_docs(spark, d))
-    return A.tokens(spans_by(readings, find_patterns, keep=A.READING), readings)
+    return A.tokens(spans_by(readings, find_patterns, keep=A.READING, value=True), readings)
 
 
 @query()
 def q12_repeat_spans(spark, d):
     readings = A.as_readings(_docs(spark, d))
-    return A.repeats(A.tokens(spans_by(readings, find_patterns, keep=A.READING), readings), readings)
+    return A.repeats(A.tokens(spans_by(readings, find_patterns, keep=A.READING, value=True), readings), readings)
 
 
 # ---------------------------------------------------------------- words
@@ -247,7 +247,7 @@ _DETECTED = f"""SELECT s.doc_id, ':' || start || '-' || "end" || ':' || label AS
 
 def _detected(spark, d):
     readings = A.as_readings(_docs(spark, d))
-    marks = A.marks(spans_by(readings, find_patterns, keep=A.READING), readings)
+    marks = A.marks(spans_by(readings, find_patterns, keep=A.READING, value=True), readings)
     return readings, marks, A.detections(marks)
 
 
@@ -479,6 +479,12 @@ def q41_end_to_end_redact(spark, d):
     return _longs(R.redact(_docs(spark, d)).withColumn("warnings", F.size("warnings").cast("long")))
 
 
+@query(ORACLE_SQL["q41_end_to_end_redact"])
+def q41b_two_phase_redact(spark, d):
+    """The same by windows and joins, as with a review between the phases."""
+    return _longs(R.redact_long(_docs(spark, d)).withColumn("warnings", F.size("warnings").cast("long")))
+
+
 _MARKED = "'To [[private_person|' || c_name || ']] of [[private_address|' || c_mktsegment || ']].'"
 
 
@@ -512,7 +518,7 @@ def q46_model_and_patterns(spark, d):
     """A dictionary in a model's place, tightened to patterns, with repeats, over conversations."""
     find = with_patterns(dictionary({"the": ("private_person", 0.7), "and": ("private_person", 0.2)}))
     rows = _t(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), "text")
-    return A.detections(A.marks(spans_by(A.as_readings(rows), find, keep=A.READING), A.as_readings(rows))).groupBy("label").agg(F.count("*").alias("n"), F.max("score").alias("top"))
+    return A.detections(A.marks(spans_by(A.as_readings(rows), find, keep=A.READING, value=True), A.as_readings(rows))).groupBy("label").agg(F.count("*").alias("n"), F.max("score").alias("top"))
 
 
 @query("SELECT doc_id, 'u' || length(text) AS units FROM documents")

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.dimensions import ALIAS_WINDOW, APPLY_SCORE, MASK, MIN_TOKEN
 from veilspan.operators import analysis as A
-from veilspan.operators.extract import Detect, find_patterns, spans_by
+from veilspan.operators.extract import Detect, absorb, find_patterns, spans_by
 from veilspan.operators.fields import STRUCTURES, csv_body, with_fields
 from veilspan.operators.mask import mask_texts
 from veilspan.operators.spans import merge_ranges
@@ -29,7 +32,8 @@ def analyse(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -
     """``docs``: doc_id, text. Nulls count as empty texts."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     readings = A.as_readings(docs)
-    spans = spans_by(readings, with_fields(find, kind), keep=A.READING)
+    # Spans are few beside the texts and are used six times over; a lost block is found again from the texts.
+    spans = spans_by(readings, with_fields(find, kind), keep=A.READING, value=True).persist(StorageLevel.MEMORY_AND_DISK)
     marks = A.marks(A.reconcile(spans, readings), readings)
     empty = F.when(F.length("text") == 0, F.array(F.lit("warning.noText"))).otherwise(F.array().cast("array<string>"))
     return Analysis(readings, marks, A.detections(marks), docs.select("doc_id", empty.alias("warnings")))
@@ -37,7 +41,7 @@ def analyse(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -
 
 def analyse_readings(readings: DataFrame, find: Detect = find_patterns) -> tuple[DataFrame, DataFrame]:
     """(marks, detections) of any readings, scans and pages included."""
-    marks = A.marks(A.reconcile(spans_by(readings, find, keep=A.READING), readings), readings)
+    marks = A.marks(A.reconcile(spans_by(readings, find, keep=A.READING, value=True), readings), readings)
     return marks, A.detections(marks)
 
 
@@ -52,12 +56,25 @@ def apply(analysis: Analysis, decisions: DataFrame, find: Detect = find_patterns
     return seen.select("doc_id", "text", "redaction_count", "warnings")
 
 
-def redact(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -> DataFrame:
-    """Analyse, take the default decisions, apply."""
+def redact_long(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -> DataFrame:
+    """Analyse, take the default decisions, apply: by windows and joins, as a review would go."""
     a = analyse(docs, find, kind)
     return apply(a, A.default_decisions(a.detections), find, kind)
 
 
+def redact(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -> DataFrame:
+    """The same for whole files with nobody to ask: a document is one row, so one pass over the rows does it all and
+    nothing is shuffled."""
+
+    def run(batches):
+        for b in batches:
+            done = [redact_one(t or "", find, kind) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.string()))))], ["doc_id", "text", "redaction_count", "warnings"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string, redaction_count long, warnings array<string>")
+
+
 def redact_files(files: DataFrame, find: Detect = find_patterns) -> DataFrame:
     """``files``: doc_id, name, format, text. Each format by its own rules; a format without one fails alone."""
     done = None
@@ -68,32 +85,71 @@ def redact_files(files: DataFrame, find: Detect = find_patterns) -> DataFrame:
     return named.withColumn("error_key", F.when(~F.coalesce(F.col("format").isin(*STRUCTURES), F.lit(False)), "failure.unsupported"))
 
 
-def redact_one(text: str, find: Detect = find_patterns, kind: str = "text") -> tuple[str, int]:
-    """One text inside a Python worker, where a stream or a UDF needs it: spans, repeats, default decisions, mask, count.
-    Defined terms need the long form."""
+_SPACE = r"[\t-\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+_RX: dict[str, object] = {}
+
+
+def _rx(name: str, rx: str, fold: bool = True):
     import regex
 
-    from veilspan.functions.dimensions import APPLY_SCORE, MASK, MIN_TOKEN
-    from veilspan.operators.extract import absorb
+    if name not in _RX:
+        _RX[name] = regex.compile(rx.replace(r"\s", _SPACE), regex.IGNORECASE if fold else 0)
+    return _RX[name]
+
+
+def _folded(value: str) -> str:
+    return _rx("ws", r"\s+").sub(" ", _rx("ends", r"^\s+|\s+$").sub("", value)).lower()
 
-    spans = with_fields(find, kind)(text) if text else []
+
+def _bounded(phrase: str):
+    import regex
+
+    words = (r"\s+".replace(r"\s", _SPACE)).join(map(regex.escape, phrase.split(" ")))
+    return regex.compile(r"(?<![\p{L}\p{N}])" + words + r"(?![\p{L}\p{N}])", regex.IGNORECASE)
+
+
+def _terms(text: str, spans: list) -> set[str]:
+    """Terms the text defines for itself, those that shorten personal data just before the bracket aside."""
+    if not any(q in text for q in "\"“”"):
+        return set()
+    out = set()
+    for m in _rx("definition", r"\(\s*(?:the\s+|each,?\s+(?:an?\s+)?|an?\s+)?[\"“”]\s*([^\"“”()]{2,60}?)\s*[\"“”]\s*\)").finditer(text):
+        near = (text[s[0] : s[1]] for s in spans if s[1] > max(0, m.start() - ALIAS_WINDOW) and s[0] < m.start())
+        if not any(_folded(v) != _folded(m[1]) and _bounded(m[1]).search(v) for v in near):
+            out.add(_folded(m[1]))
+    return out
+
+
+def redact_one(text: str, find: Detect = find_patterns, kind: str = "text") -> tuple[str, int, list[str]]:
+    """One text inside a Python worker: (masked, redactions, warnings)."""
+    body, _ = STRUCTURES[kind]
+    if not text:
+        return text, 0, ["warning.noText"]
+    spans = with_fields(find, kind)(text)
     strong: dict[str, tuple] = {}
-    for s in spans:
-        token = " ".join(text[s[0] : s[1]].split())
-        if s[3] >= APPLY_SCORE and len(token) >= MIN_TOKEN and strong.get(token.lower(), (0,) * 4)[3] < s[3]:
-            strong[token.lower()] = (token, *s[2:3], None, s[3])
-    for token, label, _, score in list(strong.values()):
-        rx = r"(?<![\p{L}\p{N}])" + r"\s+".join(map(regex.escape, token.split(" "))) + r"(?![\p{L}\p{N}])"
-        spans = spans + [(*m.span(), label, score) for m in regex.finditer(rx, text, regex.IGNORECASE)]
-    covered = sorted((s[0], s[1]) for s in absorb(spans) if s[3] >= APPLY_SCORE)
-    merged: list[list[int]] = []
-    for lo, hi in covered:
-        if merged and lo <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], hi)
+    for s, e, label, score in spans:
+        token = _rx("ws", r"\s+").sub(" ", _rx("ends", r"^\s+|\s+$").sub("", text[s:e]))
+        if score >= APPLY_SCORE and len(token) >= MIN_TOKEN and (token.lower() not in strong or strong[token.lower()][2] < score):
+            strong[token.lower()] = (token, label, score)
+    terms = _terms(text, spans)
+    again: dict[tuple, tuple] = {}
+    for token, label, score in strong.values():
+        for m in _bounded(token).finditer(text):
+            again[m.span()] = (label, score)
+    spans = spans + [(*at, *what) for at, what in again.items()]
+    article = _rx("article", r"^(?:the|an?|el|l[ao]s?|un[ao]?|[ao]s?)\s+")
+    spans = [s for s in spans if article.sub("", _folded(text[s[0] : s[1]])) not in terms] if terms else spans
+    covered: list[list[int]] = []
+    for lo, hi in sorted((s[0], s[1]) for s in absorb(spans) if s[3] >= APPLY_SCORE):
+        if covered and lo <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], hi)
         else:
-            merged.append([lo, hi])
+            covered.append([lo, hi])
     out, at = [], 0
-    for lo, hi in merged:
-        out += [text[at:lo], regex.sub(r"(?![\r\n  ])\X", MASK, text[lo:hi])]
+    for lo, hi in covered:
+        out += [text[at:lo], _rx("grapheme", r"(?![\r\n\u2028\u2029])\X", False).sub(MASK, text[lo:hi])]
         at = hi
-    return "".join([*out, text[at:]]), len(merged)
+    masked = "".join([*out, text[at:]])
+    seen = body(masked)
+    leaked = seen.strip() and any(s[3] >= APPLY_SCORE and seen[s[0] : s[1]].replace(MASK, "").strip() for s in find(seen))
+    return masked, len(covered), ["warning.notFullyRedacted"] if leaked else []

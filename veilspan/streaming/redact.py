@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from veilspan.operators.extract import Detect, find_patterns
-from veilspan.plans.redact import redact, redact_one
+from veilspan.plans.redact import redact_long, redact_one
 
 
 def redact_rows(stream: DataFrame, find: Detect = find_patterns, kind: str = "text", text: str = "text") -> DataFrame:
@@ -18,7 +18,7 @@ def redact_rows(stream: DataFrame, find: Detect = find_patterns, kind: str = "te
 
     def run(batches):
         for b in batches:
-            done = [(None, 0) if t is None else redact_one(t, find, kind) for t in b[text].to_pylist()]
+            done = [(None, 0, []) if t is None else redact_one(t, find, kind) for t in b[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([d[0] for d in done], b[text].type) if c == text else b[c] for c in names), pa.array([d[1] for d in done], pa.int64())], [*names, "redaction_count"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
@@ -30,6 +30,6 @@ def redact_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], c
     should overwrite by number so that a repeated batch changes nothing."""
 
     def each(batch: DataFrame, number: int) -> None:
-        write(redact(batch, find, kind), number)
+        write(redact_long(batch, find, kind), number)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
