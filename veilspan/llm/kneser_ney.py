@@ -284,7 +284,7 @@ def log_probabilities(m: Model, w: np.ndarray, begins: np.ndarray) -> tuple[np.n
     u, at = np.unique(w, return_inverse=True)
     count, before, total, n1, n2, n3 = vocab.find(u)
     d1, d2 = np.array([0, *m.discounts1]), np.array([0, *m.discounts2])
-    lower = m.left1 / (m.types + 1) + (np.maximum(before - d1[np.minimum(before, 3)], 0) / m.pairs if m.pairs else 0)
+    lower = m.left1 / (m.types + 1) + np.maximum(before - d1[np.minimum(before, 3)], 0) / max(m.pairs, 1)
     total, left = np.append(total, m.begin[0]).astype(float), d2[1] * np.append(n1, m.begin[1]) + d2[2] * np.append(n2, m.begin[2]) + d2[3] * np.append(n3, m.begin[3])
     ctx = np.empty(len(w), np.int64)
     ctx[1:] = at[:-1]
