@@ -225,7 +225,8 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_wo
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["id", "t", "h", "words", "owners"])
 
     held = C.written(docs.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(look_up, "id long, t long, h binary, words binary, owners array<long>"), "line-units")
-    owners = held.groupBy("id").agg(F.max("h").alias("other"))
+    # Written, so that nothing but the join asks for rows by owner and a hot owner's pairs can be split.
+    owners = C.written(held.groupBy("id").agg(F.max("h").alias("other")), "line-owned")
     pairs = held.where(F.size("owners") > 0).select(F.col("id").alias("later"), "t", "h", "words", F.explode("owners").alias("id")).join(owners, "id")
 
     def compare(batches):
