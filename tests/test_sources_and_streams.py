@@ -66,3 +66,42 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{out}/0").collect()} == {(1, "to ██████"), (2, "")}
+
+
+def test_model_files(spark):
+    from veilspan.sources import models
+
+    m = spark.createDataFrame([("a", "r/x", "v1", "m.onnx"), ("b", "r/x", "v1", "n.onnx")], "id string, repo string, revision string, file string")
+    urls = models.file_urls(m, "https://hub.example/")
+    assert urls.count() == 6 and [r[0] for r in models.owned_urls(urls, "a").collect()] == ["https://hub.example/r/x/resolve/v1/onnx/m.onnx"]
+    kept = spark.createDataFrame([("https://hub.example/r/x/resolve/v1/onnx/m.onnx", 10), ("https://old", 3)], "url string, size long")
+    assert [r["url"] for r in models.stale(kept, urls).collect()] == ["https://old"]
+    assert {r["id"]: r["status"] for r in models.status(urls, kept).collect()} == {"a": "partial", "b": "absent"}
+    files = spark.createDataFrame([("u", 25), ("v", 0)], "url string, total long")
+    held = spark.createDataFrame([("u", 10)], "url string, start long")
+    assert sorted(tuple(r) for r in models.missing(files, held, 10).collect()) == [("u", 0, 10), ("u", 20, 5)]
+    assert [tuple(r) for r in models.banked(files, held, 10).collect()] == [("u", 10)]
+    name = kept.select(models.kept_name(kept["url"])).first()[0]
+    assert name.endswith("-m.onnx") and len(name) == 16 + 7
+
+
+def test_command(spark, folder, tmp_path):
+    from veilspan.__main__ import main
+
+    total = main([str(folder), str(tmp_path / "res")])
+    assert total["file_count"] == 3 and total["redaction_count"] == 3 and total["failures"] == 1
+
+
+def test_failures_are_isolated(spark):
+    from veilspan.plans.redact import redact
+
+    def find(text):
+        if "boom" in text:
+            raise ValueError("boom")
+        return []
+
+    rows = spark.createDataFrame([(1, "fine"), (2, "boom")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["warnings"]) for r in redact(rows, find, isolate=True).collect()}
+    assert got == {1: ("fine", []), 2: (None, ["failure: ValueError: boom"])}
+    with pytest.raises(Exception, match="boom"):
+        redact(rows, find).collect()

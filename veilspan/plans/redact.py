@@ -62,13 +62,22 @@ def redact_long(docs: DataFrame, find: Detect = find_patterns, kind: str = "text
     return apply(a, A.default_decisions(a.detections), find, kind)
 
 
-def redact(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -> DataFrame:
+def redact(docs: DataFrame, find: Detect = find_patterns, kind: str = "text", isolate: bool = False) -> DataFrame:
     """The same for whole files with nobody to ask: a document is one row, so one pass over the rows does it all and
-    nothing is shuffled."""
+    nothing is shuffled. With ``isolate`` a document whose detector fails has no text and its failure as its warning,
+    and the others go on; without, the failure is raised."""
+
+    def one(text: str) -> tuple:
+        try:
+            return redact_one(text, find, kind)
+        except Exception as e:
+            if not isolate:
+                raise
+            return None, 0, [f"failure: {type(e).__name__}: {e}"]
 
     def run(batches):
         for b in batches:
-            done = [redact_one(t or "", find, kind) for t in b["text"].to_pylist()]
+            done = [one(t or "") for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.string()))))], ["doc_id", "text", "redaction_count", "warnings"])
 
     rows = docs.select("doc_id", "text")
