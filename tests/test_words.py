@@ -18,7 +18,7 @@ def test_chunks(spark):
     for n in range(30):
         want = W.chunk_list(list(range(n)), 7, 2)
         items = spark.createDataFrame([(list(range(n)),)], "x array<int>")
-        assert [c["items"] for c in items.select(W.chunks(F.col("x"), 7, 2)).first()[0]] == want
+        assert [r["x"] for r in W.chunk_rows(items, "x", 7, 2).orderBy("first").collect()] == want
         assert sorted({x for c in want for x in c}) == list(range(n))
     with pytest.raises(ValueError):
         W.chunk_list([1], 2, 2)

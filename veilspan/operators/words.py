@@ -50,14 +50,20 @@ def word_rows(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, word_no int, start int, end int, word string")
 
 
-def chunks(items: Column, size: int, overlap: int) -> Column:
-    """array<struct<first, items>>: windows of ``size`` items that share ``overlap``; the last is the first to reach the end."""
+def chunk_firsts(n: Column, size: int, overlap: int) -> Column:
+    """array<int>: where windows of ``size`` items that share ``overlap`` begin; the last is the first to reach the end."""
     if overlap >= size:
         raise ValueError(f"chunks of {size} can't share {overlap}")
-    n, stride = F.size(items), size - overlap
+    stride = size - overlap
     count = F.when(n <= 0, 0).when(n <= size, 1).otherwise(F.ceil((n - size) / stride) + 1).cast("int")
-    firsts = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: i < count), lambda i: i * stride)
-    return F.transform(firsts, lambda f: F.struct(f.alias("first"), F.slice(items, f + 1, F.lit(size)).alias("items")))
+    return F.transform(F.filter(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: i < count), lambda i: i * stride)
+
+
+def chunk_rows(df: DataFrame, items: str, size: int, overlap: int) -> DataFrame:
+    """``df`` with a row for each chunk of the array column ``items``: first, and the chunk in the array's place. The array is
+    made once a row and cut behind the explode."""
+    rows = df.withColumn("first", F.explode(chunk_firsts(F.size(items), size, overlap)))
+    return rows.withColumn(items, F.slice(items, F.col("first") + 1, F.lit(size)))
 
 
 def chunk_list(items: list, size: int, overlap: int) -> list[list]:

@@ -161,8 +161,8 @@ _CHUNKS = f"""SELECT doc_id, CAST(f AS BIGINT) AS first, CAST(len(w[f + 1 : f +
 
 @query(_CHUNKS)
 def q14_chunk_words(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.explode(words.chunks(words.words(F.col("text")), MAX_WORDS, OVERLAP_WORDS)).alias("c"))
-    return _longs(rows.select("doc_id", F.col("c.first").alias("first"), F.size("c.items").alias("n"), F.get("c.items", F.lit(0)).alias("first_word")))
+    rows = words.chunk_rows(_docs(spark, d).select("doc_id", words.words(F.col("text")).alias("w")), "w", MAX_WORDS, OVERLAP_WORDS)
+    return _longs(rows.select("doc_id", "first", F.size("w").alias("n"), F.get("w", F.lit(0)).alias("first_word")))
 
 
 _LINES = """SELECT doc_id, l, i, CAST(coalesce(list_sum(list_transform(l[1:i-1], lambda x: length(x) + 1)), 0) AS BIGINT) AS "at" FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
@@ -345,7 +345,9 @@ def q32_archive_names(spark, d):
 @query()
 def q33_batch_pack(spark, d):
     """Chunks of each document packed into batches of at most 4 and of 4096 tokens, padding included."""
-    rows = _docs(spark, d).select("doc_id", F.transform(words.chunks(words.words(F.col("text")), MAX_WORDS, OVERLAP_WORDS), lambda c: F.size(c["items"])).alias("sizes"))
+    n = _docs(spark, d).select("doc_id", F.size(words.words(F.col("text"))).alias("n"))
+    firsts = n.select("doc_id", "n", words.chunk_firsts(F.col("n"), MAX_WORDS, OVERLAP_WORDS).alias("firsts"))
+    rows = firsts.select("doc_id", F.transform("firsts", lambda f: F.least(F.lit(MAX_WORDS), F.col("n") - f)).alias("sizes"))
 
     def packed(series):
         return series.map(lambda sizes: [len(b) for b in codec.batches([codec.Encoded([0] * int(n), [], []) for n in sizes], 4, 1024)])

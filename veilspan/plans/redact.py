@@ -32,9 +32,9 @@ def analyse(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -
     """``docs``: doc_id, text. Nulls count as empty texts."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     readings = A.as_readings(docs)
-    # Spans are few beside the texts and are used six times over; a lost block is found again from the texts.
+    # Spans and marks are few beside the texts and are used several times over; a lost block is found again from the texts.
     spans = spans_by(readings, with_fields(find, kind), keep=A.READING, value=True).persist(StorageLevel.MEMORY_AND_DISK)
-    marks = A.marks(A.reconcile(spans, readings), readings)
+    marks = A.marks(A.reconcile(spans, readings), readings).persist(StorageLevel.MEMORY_AND_DISK)
     empty = F.when(F.length("text") == 0, F.array(F.lit("warning.noText"))).otherwise(F.array().cast("array<string>"))
     return Analysis(readings, marks, A.detections(marks), docs.select("doc_id", empty.alias("warnings")))
 
