@@ -87,7 +87,11 @@ def java(p: Pattern) -> str:
 def python(p: Pattern):
     import regex
 
-    return regex.compile(_spell(p.rx, _EDGE, "[0-9]", "".join(f"\\u{c:04x}" for c in SPACES)), regex.IGNORECASE if p.fold else 0)
+    spaces = "".join(f"\\u{c:04x}" for c in SPACES)
+    if p.fold:  # the letters fold as Unicode has it, so word edges are spelled out: one before the first word, else behind one
+        first = r"(?<![A-Za-z0-9_])" if p.rx.startswith(r"\b") else ""
+        return regex.compile(first + _spell(p.rx.removeprefix(r"\b"), "(?![A-Za-z0-9_])", "[0-9]", spaces), regex.IGNORECASE)
+    return regex.compile(_spell(p.rx, r"\b", "[0-9]", spaces), regex.ASCII)
 
 
 def re2(p: Pattern) -> str:

@@ -8,6 +8,7 @@ being searched at all.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ from veilspan.functions import patterns as P
 
 SPANS = "start int, end int, label string, score double"
 _SOH = "\x01"
+_DIGIT = re.compile("[0-9]")
 _COMPILED: list[tuple[P.Pattern, object]] = []
 
 Span = tuple[int, int, str, float]
@@ -42,7 +44,7 @@ def find_patterns(text: str) -> list[Span]:
     """All verified pattern matches of a text, nested ones absorbed."""
     if not _COMPILED:
         _COMPILED.extend((p, P.python(p)) for p in P.PATTERNS)
-    has_digit, found = any("0" <= c <= "9" for c in text), []
+    has_digit, found = _DIGIT.search(text) is not None, []
     for p, rx in _COMPILED:
         if ("@" not in text) if p.need == "@" else not has_digit:
             continue
