@@ -320,5 +320,7 @@ def score(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None
 
 
 def train_and_score(docs: DataFrame, train_when: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Learn from the rows that ``train_when`` picks, score all; with train_tokens and perplexity."""
     m = train(docs.where(train_when), text)
-    return score(docs, m, text, keep).withColumn("train_tokens", F.lit(m.tokens).cast("long"))
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))  # the end mark makes a token at least
+    return score(docs, m, text, keep).withColumn("train_tokens", F.lit(m.tokens).cast("long")).withColumn("perplexity", perplexity)

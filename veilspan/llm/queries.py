@@ -33,7 +33,7 @@ def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold(F.col("doc_id")) == 1
     out = kneser_ney.train_and_score(docs, ~held_out, keep=["doc_id"])
-    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
