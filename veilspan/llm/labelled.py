@@ -27,4 +27,5 @@ def learn(sample: DataFrame, fit, schema: str) -> list:
         if table is not None and table.num_rows:
             yield from fit(table["text"], table["y"].to_numpy())
 
-    return sample.coalesce(1).sortWithinPartitions("h").select("text", "y").mapInArrow(run, schema).collect()
+    # A shuffle of the sample alone: coalescing would have one task scan all documents for it.
+    return sample.repartition(1).sortWithinPartitions("h").select("text", "y").mapInArrow(run, schema).collect()
