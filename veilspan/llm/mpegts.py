@@ -118,11 +118,9 @@ def write_stream(payload: bytes) -> bytes:
 def _tables(raw: np.ndarray, pid: np.ndarray, at: np.ndarray, unit: np.ndarray, wanted: int, table: int) -> list[bytes]:
     """Distinct sound sections of one table, from packets that begin one and hold it whole."""
     out: dict[bytes, None] = {}
-    rows = np.flatnonzero((pid == wanted) & unit & (at < PACKET))
-    if not len(rows):
-        return []
-    for r in np.unique(raw[rows, 4:], axis=0, return_index=True)[1]:
-        row = raw[rows[r]].tobytes()[at[rows[r]] :]
+    rows = np.flatnonzero((pid == wanted) & unit & (at < PACKET)).tolist()
+    # A table is repeated word for word; each wording is parsed once.
+    for row in dict.fromkeys(raw[r].tobytes()[at[r] :] for r in rows):
         section = row[1 + row[0] :]
         if len(section) > 7 and section[0] == table:
             section = section[: 3 + ((section[1] & 15) << 8 | section[2])]
