@@ -85,8 +85,8 @@ def fit(texts, y: np.ndarray) -> np.ndarray:
     """Weights by FTRL-proximal, one text after the other, several passes in shuffled orders; the last is the intercept."""
     z, n = np.zeros(TABLE + 1), np.zeros(TABLE + 1)
     rows = []
-    for lo in range(0, len(y), 512):
-        number, value, at = features(texts.slice(lo, 512))
+    for lo in range(0, len(y), 128):
+        number, value, at = features(texts.slice(lo, 128))
         for i in range(len(at) - 1):
             j, back = np.unique(number[at[i] : at[i + 1]], return_inverse=True)
             x = np.bincount(back, value[at[i] : at[i + 1]], len(j)) if len(j) else np.zeros(0)
@@ -129,7 +129,7 @@ def score(docs: DataFrame, model, text: str = "text", keep: list[str] | None = N
     def run(batches):
         w = np.zeros(TABLE + 1)
         w[np.frombuffer(sent.value[0], "<i4")] = np.frombuffer(sent.value[1], np.float32)
-        for b in C.slices(batches, "__text", 2 << 20):
+        for b in C.slices(batches, "__text", 1 << 20):
             number, value, at = features(b["__text"])
             total = np.r_[0, np.cumsum(w[number] * value)]
             dot = w[INTERCEPT] + total[at[1:]] - total[at[:-1]]
