@@ -80,23 +80,23 @@ def pattern_spans(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     return spans_by(df, find_patterns, text, keep)
 
 
-def matches(text: Column, p: P.Pattern) -> Column:
-    """array<struct<start, end, value>> of a pattern's unverified matches, inside the JVM. U+0001 must not occur in texts."""
+def pieces(text: Column, p: P.Pattern) -> Column:
+    """array<string>: the text between a pattern's unverified matches, and these in the odd places. U+0001 must not occur."""
     if p.value:
         head, tail = _around_value(P.java(p))
         fenced, put = f"({head})({tail[0]}){tail[1]}", f"$1{_SOH}$2{_SOH}"
     else:
-        put = f"{_SOH}$0{_SOH}"
-        fenced = P.java(p)
+        fenced, put = P.java(p), f"{_SOH}$0{_SOH}"
     need = text.contains("@") if p.need == "@" else text.rlike("[0-9]")
-    pieces = F.split(F.when(need, F.regexp_replace(text, F.lit(fenced), F.lit(put))).otherwise(F.lit("")), _SOH, -1)
+    return F.split(F.when(need, F.regexp_replace(text, F.lit(fenced), F.lit(put))).otherwise(F.lit("")), _SOH, -1)
 
-    def located(ps: Column) -> Column:
-        ends = F.transform(ps, lambda x, i: F.aggregate(F.slice(ps, 1, i), F.lit(0), lambda n, y: n + F.length(y)))
-        every = F.transform(ps, lambda x, i: F.struct(i.alias("i"), F.get(ends, i).alias("start"), (F.get(ends, i) + F.length(x)).alias("end"), x.alias("value")))
-        return F.filter(every, lambda s: s["i"] % 2 == 1)
 
-    return located(pieces)
+def located(cut: Column) -> Column:
+    """array<struct<start, end, value>> of the matches among a text's pieces. ``cut`` should be a column of its own, so that the
+    text is searched once."""
+    before = F.transform(cut, lambda x, i: F.aggregate(F.slice(cut, 1, i), F.lit(0), lambda n, y: n + F.length(y)))
+    every = F.zip_with(cut, before, lambda x, at: F.struct(at.alias("start"), (at + F.length(x)).alias("end"), x.alias("value")))
+    return F.filter(every, lambda s, i: i % 2 == 1)
 
 
 def _around_value(rx: str) -> tuple[str, tuple[str, str]]:
@@ -112,14 +112,16 @@ def _around_value(rx: str) -> tuple[str, tuple[str, str]]:
 
 def native_spans(df: DataFrame, names: Iterable[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows (keep, start, end, label, score, value) of some patterns, one scan, no Python."""
-    def verified(p: P.Pattern) -> Column:
-        found = matches(F.col(text), p)
+    own = [P.by_id(name) for name in names]
+
+    def verified(i: int, p: P.Pattern) -> Column:
+        found = located(F.col(f"__cut{i}"))
         if p.verify:
             found = F.filter(found, lambda s: P.VERIFY_COLUMN[p.verify](s["value"]))
         return F.transform(found, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), F.lit(p.label).alias("label"), F.lit(1.0).alias("score"), s["value"].alias("value")))
 
-    each = [verified(P.by_id(name)) for name in names]
-    rows = df.where(F.length(text) > 0).select(*keep, F.explode(F.flatten(F.array(*each))).alias("s"))
+    rows = df.where(F.length(text) > 0).select(*keep, *(pieces(F.col(text), p).alias(f"__cut{i}") for i, p in enumerate(own)))
+    rows = rows.select(*keep, F.explode(F.flatten(F.array(*(verified(i, p) for i, p in enumerate(own))))).alias("s"))
     return rows.select(*keep, "s.*")
 
 
