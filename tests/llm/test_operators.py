@@ -309,3 +309,20 @@ def test_pipeline(spark, sf):
         before = after
     got = P.run(spark, sf).collect()
     assert {r["doc_id"] for r in got} == ids
+
+
+def test_registered():
+    import __spark_entry__ as e
+
+    names = [n for n in e.queries() if n.startswith("op")]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in e.queries()
+
+
+def test_held_out_labels_on_the_tables(spark):
+    """Both classifiers on the larger test table, on labels they did not learn from."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for query, label in ((queries.op7_quality, "quality"), (queries.op4_toxicity, "toxic")):
+        rows = query(spark, sf).where("held_out").join(labels, "doc_id").collect()
+        right = sum(r["predicted"] == r[label] for r in rows) / len(rows)
+        assert right >= 0.98, (label, right)

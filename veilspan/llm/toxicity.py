@@ -31,6 +31,8 @@ from veilspan.llm.labelled import labelled_sample, learn
 U64 = np.uint64
 #: Labelled rows that are learnt from, at most; texts an entry must explain that none before it does; prefix lengths (bytes).
 BOUND, NEWLY, PREFIXES = 8_000, 3, (4, 5, 6)
+#: How many times likelier toxic texts must hold an entry than clean ones.
+LEAST_ODDS = 25
 
 #: Seeds of the lexicon. Fixed values.
 INSULTS = "idiot moron stupid loser pathetic scum trash worthless clown disgusting dumb fool garbage vermin filth idiota imbecil basura estupido dummkopf abschaum idiote ordure debile".split()
@@ -239,7 +241,7 @@ def fit(texts, y: np.ndarray) -> Grammar:
         dirty = np.bincount(back[bad], minlength=len(u))
         share = max(toxic.sum(), 1) / max((one & ~toxic).sum(), 1)
         odds = (dirty + 0.5) / (clean + 0.5) / share
-        usable = np.flatnonzero((dirty >= NEWLY) & (odds >= 30) & (clean * 50 <= dirty))
+        usable = np.flatnonzero((dirty >= NEWLY) & (odds >= LEAST_ODDS))
         pick = np.isin(back, usable) & bad
         order = np.argsort(back[pick], kind="stable")
         entry, holder = back[pick][order], doc[pick][order]
@@ -252,7 +254,7 @@ def fit(texts, y: np.ndarray) -> Grammar:
             best = max(gain, key=lambda e: (gain[e] * min(1.0, odds[e] / 1000), dirty[e], int(u[e])))
             if gain[best] < NEWLY:
                 break
-            known[int(u[best])] = (INSULT, 1.0)
+            known[int(u[best])] = (INSULT, float((dirty[best] + 0.5) / (dirty[best] + clean[best] + 1)))
             left[holders.pop(best)] = False
             holders = {e: h for e, h in holders.items() if gain[e] >= NEWLY}
         # A seed that clean texts hold as often is none here.
