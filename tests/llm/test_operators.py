@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from veilspan.llm import linedup, mih, mpegts, packing, queries, sharding, simhash
+from veilspan.llm import jaccard, linedup, mih, mpegts, packing, queries, sharding, simhash
 
 ODD = [(1, "a b a b"), (2, ""), (3, None), (4, "A  b\tc\n"), (5, "   "), (None, "a b"), (1, "a b a b"), (6, "é ü 🙂 x"), (7, "word " * 30_000)]
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -157,6 +157,36 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_pipeline_near_duplicates(spark, monkeypatch, odd):
+    import corpus_pipeline
+
+    r = random.Random(6)
+    base = [[f"w{r.randrange(5000)}" for _ in range(200)] for _ in range(30)]
+    texts = [(1000 + i, " ".join(t)) for i, t in enumerate(base)]
+    for i in range(120):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(7)):  # each takes five of 196 shingles out and puts five in
+            t[r.randrange(200)] = f"n{r.randrange(10**6)}"
+        texts.append((i, " ".join(t)))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(196)} for _, t in texts]
+    up = {i: i for i, _ in texts}
+    near = 0
+    for x in range(len(texts)):
+        for y in range(x):
+            s = len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+            if s >= 0.8:
+                near += s < 0.85
+                a, b = sorted((up[texts[x][0]], up[texts[y][0]]))
+                up = {k: a if v == b else v for k, v in up.items()}
+    assert near > 20
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for tile in (1024, 4):
+        monkeypatch.setattr(jaccard, "TILE", tile)
+        assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, df, "").collect()} == set(up.values())
+    assert sorted(x["doc_id"] or 0 for x in jaccard.keep_first(odd).collect()) == [0, 1, 2, 4, 6, 7]
+    assert jaccard.keep_first(odd.limit(0)).count() == 0
+
+
 # ---------------------------------------------------------------- neighbours
 
 

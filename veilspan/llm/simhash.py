@@ -215,42 +215,49 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
 
     keys = [F.struct(F.lit(i).alias("choice"), *(part(lo, n).alias(f"k{j}") for j, (lo, n) in enumerate(c))) for i, c in enumerate(choices)]
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("bucket"))
-    large = rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > TILE).select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+
+    def pairs(tile, node, fp):
+        return [(int(node[i]), int(node[j])) for i, j in meeting(fp.view(U64), tile, radius)]
+
+    return meetings(rows, ["node", "fp"], TILE).mapInArrow(lambda batches: met(batches, ("tile", "node", "fp"), pairs), "a long, b long").distinct()
+
+
+def meetings(rows: DataFrame, keep: list[str], tile_rows: int) -> DataFrame:
+    """``rows`` (node, other columns, bucket), dealt and sorted by group: the rows that meet. A large bucket's rows are cut into
+    tiles, every two of which make a group."""
+    large = rows.groupBy("bucket").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") > tile_rows).select("bucket", F.ceil(F.col("n_rows") / tile_rows).cast("int").alias("tiles"))
     rows = rows.join(large, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp", "node"), F.col("tiles")).cast("int")
+    mine = F.pmod(F.xxhash64(*keep[:2]), F.col("tiles")).cast("int")
     other = F.sequence(F.lit(0), F.col("tiles") - 1)
     # A row meets every tile of its bucket; in the meeting (x, y), x <= y, it stands in tile 0 if it is of x.
-    met = rows.withColumn("mine", mine).select("node", "fp", "bucket", "mine", F.explode(other).alias("other"))
-    met = met.select("node", "fp", F.struct("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).alias("meeting"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("tile"))
-    met = met.withColumn("group", F.xxhash64("meeting")).select("group", "tile", "node", "fp")
-    n = C.shuffle_partitions(spark)
-    met = met.repartition(n, "group").sortWithinPartitions("group")
+    dealt = rows.withColumn("mine", mine).select(*keep, "bucket", "mine", F.explode(other).alias("other"))
+    dealt = dealt.select(*keep, F.struct("bucket", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y")).alias("meeting"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).alias("tile"))
+    dealt = dealt.withColumn("group", F.xxhash64("meeting")).select("group", "tile", *keep)
+    return dealt.repartition(C.shuffle_partitions(rows.sparkSession), "group").sortWithinPartitions("group")
 
-    def run(batches):
-        rest = None
-        for b in batches:
-            cols = [np.asarray(b[c]) for c in ("group", "tile", "node", "fp")]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols)]
-            edge = np.r_[0, np.flatnonzero(np.diff(cols[0])) + 1]
-            yield from out(cols, edge)
-            rest = [c[edge[-1] :] for c in cols]
-        if rest is not None:
-            yield from out(rest, np.array([0, len(rest[0])]))
+
+def met(batches, names: tuple[str, ...], pairs):
+    """Links (a < b) that ``pairs`` finds among each group's rows; names: tile, node, and what else it takes."""
 
     def out(cols, edge):
-        _, tile, node, fp = cols
         found = []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
             if hi - lo > 1:
-                own = node[lo:hi]
-                found += [(int(own[i]), int(own[j])) for i, j in meeting(fp[lo:hi].view(U64), tile[lo:hi], radius)]
+                found += pairs(*(c[lo:hi] for c in cols[1:]))
         if found:
-            e = np.sort(np.array(found, np.int64), axis=1)
-            e = np.unique(e, axis=0)
+            e = np.unique(np.sort(np.array(found, np.int64), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], ["a", "b"])
 
-    return met.mapInArrow(run, "a long, b long").distinct()
+    rest = None
+    for b in batches:
+        cols = [np.asarray(b[c]) for c in ("group", *names)]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        edge = np.r_[0, np.flatnonzero(np.diff(cols[0])) + 1]
+        yield from out(cols, edge)
+        rest = [c[edge[-1] :] for c in cols]
+    if rest is not None:
+        yield from out(rest, np.array([0, len(rest[0])]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -296,7 +303,11 @@ def _shared_ids(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 
 def keep_first(docs: DataFrame, radius: int = 4, width: int = 4, seed: int = 42, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each group of near-duplicates the row with the smallest id, all its columns; rows without an id all stay."""
-    found = near_duplicates(docs, radius, width, seed, key, text)
+    return firsts(docs, near_duplicates(docs, radius, width, seed, key, text), key, text)
+
+
+def firsts(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id is its component's in ``found``, each id once, and those without an id."""
     kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     named = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi")
     repeated = Window.partitionBy(key).orderBy(text)
