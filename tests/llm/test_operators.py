@@ -263,6 +263,21 @@ def test_line_dedup(spark):
     assert linedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(1, 6))
+def test_repeats(a, b, least):
+    words = [x % 3 + 1 for x in a]
+    runs = [range(i, j) for i in range(len(a)) for j in range(i + 1, len(a) + 1) if sum(words[i:j]) >= least and any(a[i:j] == b[k : k + j - i] for k in range(len(b)))]
+    assert linedup.repeats(a, b, words, least) == sorted({p for r in runs for p in r})
+
+
+def test_line_dedup_of_repeated_passages(spark):
+    p, q, own = passage(4, 12), passage(5, 13), [passage(30 + i) for i in range(4)]
+    docs = [(1, f"{own[0]}\n{p}\n{q}\n{own[1]}"), (2, "\n".join([own[2], p, q, own[3], p, q, p, q]))]
+    got = {r["doc_id"]: (r["text"], r["removed_words"]) for r in linedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 0), 2: (f"{own[2]}\n{own[3]}", 75)}
+
+
 def test_many_sharers_make_few_pairs(spark):
     p = passage(3)
     docs = spark.createDataFrame([(i, f"{passage(100 + i)}\n{p}") for i in range(300)], "doc_id long, text string")

@@ -6,6 +6,8 @@ unit in a thousand documents makes at most a thousand pairs. Rare or frequent, e
 run of shared units it stands in has fewer words than a block must have: no block can come of it. Each pair's two sequences of
 hashes are aligned by patience diff: common heads and tails, then units that are unique in both sides, in the longest order
 they share, and the same between these. Aligned blocks of at least ``block_words`` words are deleted from the later document.
+What has no unique anchor, such as a passage that either side repeats, is matched exactly by a suffix automaton of the owner:
+every occurrence in the later document of a run that the owner holds goes, wherever in the owner it stands.
 
 The hashes and owners of shared units are sorted arrays in the shared folder, mapped where they are looked up.
 
@@ -16,6 +18,8 @@ unit before them where that is deleted; a document may lose its whole text.
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -132,6 +136,51 @@ def blocks(pairs: list[tuple[int, int]], words: list[int], least: int) -> list[i
     return out
 
 
+def repeats(a: list[int], b: list[int], words: list[int], least: int) -> list[int]:
+    """Positions of ``a`` inside runs of at least so many words that ``b`` holds as they stand, in linear time."""
+    held = set(b)
+    size = most = 0
+    for x, w in zip(a, words):
+        size = size + w if x in held else 0
+        most = max(most, size)
+    if most < least:
+        return []
+    go, link, length, last = [{}], [-1], [0], 0  # suffix automaton of b
+    for x in b:
+        new, p = len(go), last
+        go.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while p >= 0 and x not in go[p]:
+            go[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = go[p][x]
+            if length[q] == length[p] + 1:
+                link[new] = q
+            else:
+                twin = len(go)
+                go.append(dict(go[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and go[p].get(x) == q:
+                    go[p][x] = twin
+                    p = link[p]
+                link[q] = link[new] = twin
+        last = new
+    total = [0, *accumulate(words)]
+    out, state, n, done = [], 0, 0, 0
+    for i, x in enumerate(a):
+        while state and x not in go[state]:
+            state = link[state]
+            n = length[state]
+        state, n = (go[state][x], n + 1) if x in go[state] else (0, 0)
+        if total[i + 1] - total[i + 1 - n] >= least:
+            out += range(max(done, i + 1 - n), i + 1)
+            done = i + 1
+    return out
+
+
 def without(raw: bytes, begins: list[int], ends: list[int], gone: list[int]) -> bytes:
     """The text without those units. What separates them goes too, but a line's end stays where its line does."""
     out, lost = [], set(gone)
@@ -230,14 +279,17 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_wo
     pairs = held.where(F.size("owners") > 0).select(F.col("id").alias("later"), "t", "h", "words", F.explode("owners").alias("id")).join(owners, "id")
 
     def compare(batches):
-        for b in batches:
+        for batch in batches:
             rows = []
-            for later, t, h, w, o in zip(*(b[c].to_pylist() for c in ("later", "t", "h", "words", "other"))):
+            for later, t, h, w, o in zip(*(batch[c].to_pylist() for c in ("later", "t", "h", "words", "other"))):
                 words = np.frombuffer(w, "<u4").tolist()
                 if h == o:
                     gone = list(range(len(words))) if sum(words) >= block_words else []
                 else:
-                    gone = blocks(align(np.frombuffer(h, "<u8").tolist(), np.frombuffer(o, "<u8").tolist()), words, block_words)
+                    a, b = np.frombuffer(h, "<u8").tolist(), np.frombuffer(o, "<u8").tolist()
+                    gone = blocks(align(a, b), words, block_words)
+                    if len(gone) < len(a):
+                        gone = sorted({*gone, *repeats(a, b, words, block_words)})
                 if gone:
                     rows.append((later, t, gone))
             if rows:
