@@ -278,6 +278,28 @@ def test_line_dedup_of_repeated_passages(spark):
     assert got == {1: (docs[0][1], 0), 2: (f"{own[2]}\n{own[3]}", 75)}
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 5), max_size=8), min_size=1, max_size=4), st.integers(1, 9))
+def test_runs(texts, least):
+    words = np.array([w for t in texts for w in t], np.int64)
+    at = np.r_[0, np.cumsum([len(t) for t in texts])]
+    h = np.arange(len(words), dtype=np.uint64)
+    got, first = linedup.runs(h, words, at, least)
+    for t, (lo, hi) in enumerate(zip(at, at[1:])):
+        spans = [(i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1) if sum(words[i:j]) >= least]
+        want = [(i, j) for i, j in spans if (i, j - 1) not in spans or (i + 1, j) not in spans]
+        plain = linedup.C.span_hashes(h, np.array([i for i, _ in want], int), np.array([j for _, j in want], int))
+        assert sorted(got[first[t] : first[t + 1]]) == sorted(plain)
+
+
+def test_line_dedup_of_passages_whose_units_stand_elsewhere(spark):
+    parts, own = [passage(50 + i, 14) for i in range(4)], [passage(60 + i) for i in range(7)]
+    docs = [(i + 1, f"{own[i]}\n{parts[i]}") for i in range(4)]
+    docs += [(8, "\n".join([own[4], *parts])), (9, "\n".join([own[5], *parts, own[6]]))]
+    rows = {r["doc_id"]: (r["text"], r["removed_words"]) for r in linedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == {**{i: (t, 0) for i, t in docs}, 9: (f"{own[5]}\n{own[6]}", 56)}
+
+
 def test_many_sharers_make_few_pairs(spark):
     p = passage(3)
     docs = spark.createDataFrame([(i, f"{passage(100 + i)}\n{p}") for i in range(300)], "doc_id long, text string")

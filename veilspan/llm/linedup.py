@@ -1,15 +1,16 @@
 """Line dedup by pairwise alignment.
 
-A unit is a line, or a sentence of a line that holds several. Every unit's hash has an owner: the smallest id among the
-documents that hold it. A later document is paired with the owners of its shared units, never with all other holders, so a
-unit in a thousand documents makes at most a thousand pairs. Rare or frequent, every shared unit opens pairs, except where the
-run of shared units it stands in has fewer words than a block must have: no block can come of it. Each pair's two sequences of
+A unit is a line, or a sentence of a line that holds several. A run is a stretch of units with ``block_words`` words or more
+that would have fewer without its last unit, or without its first; every unit of a longer shared stretch lies in a run within
+it. Every run's hash has an owner: the smallest id among the documents that hold it. A later document is paired with the
+owners of its runs, never with all other holders, so a run in a thousand documents makes at most a thousand pairs, and none is
+lost because single units of it stand in still earlier documents. Each pair's two sequences of
 hashes are aligned by patience diff: common heads and tails, then units that are unique in both sides, in the longest order
 they share, and the same between these. Aligned blocks of at least ``block_words`` words are deleted from the later document.
 What has no unique anchor, such as a passage that either side repeats, is matched exactly by a suffix automaton of the owner:
 every occurrence in the later document of a run that the owner holds goes, wherever in the owner it stands.
 
-The hashes and owners of shared units are sorted arrays in the shared folder, mapped where they are looked up.
+The hashes and owners of shared runs are sorted arrays in the shared folder, mapped where they are looked up.
 
 Defined cases: a null or empty text stays as it is; rows without an id stay whole; rows that share an id count as one
 document, and lose nothing to each other; repeated rows lose the same units each; blank lines are no units, and go with the
@@ -70,6 +71,22 @@ def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate(hashes), np.concatenate(words), start, np.concatenate(ends), np.searchsorted(start, off)
 
 
+def runs(h: np.ndarray, words: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' shortest runs of at least so many words, from each unit on and up to each unit, and where each text's
+    begin."""
+    total = np.r_[0, np.cumsum(words)]
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    i = np.arange(len(h))
+    on = np.searchsorted(total, total[:-1] + least)
+    up = np.searchsorted(total, total[1:] - least, "right") - 1
+    forth, back = on <= at[text + 1], up >= at[text]
+    # A run that is shortest both ways comes once.
+    back[back] = on[up[back]] != i[back] + 1
+    lo, hi, text = np.r_[i[forth], up[back]], np.r_[on[forth], i[back] + 1], np.r_[text[forth], text[back]]
+    order = np.argsort(text, kind="stable")
+    return C.span_hashes(h, lo[order], hi[order]), np.searchsorted(text[order], np.arange(len(at)))
+
+
 # ---------------------------------------------------------------- alignment
 
 
@@ -197,6 +214,13 @@ def without(raw: bytes, begins: list[int], ends: list[int], gone: list[int]) ->
 # ---------------------------------------------------------------- operator
 
 
+def _owned(h: np.ndarray, ids: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of sorted ones, each one's smallest id, and whether other ids hold it too or ``more`` says so."""
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    lo = np.minimum.reduceat(ids, first)
+    return h[first], lo, (lo < np.maximum.reduceat(ids, first)) | np.logical_or.reduceat(more, first)
+
+
 def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, t (the text's hash) and gone (sorted positions of units to delete) of the documents that lose any."""
     spark = docs.sparkSession
@@ -207,23 +231,24 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_wo
         have = []
 
         def out():
-            h, lo, hi = (np.concatenate([x[i] for x in have]) for i in range(3))
+            h, lo, more = (np.concatenate([x[i] for x in have]) for i in range(3))
             have.clear()
             order = np.argsort(h, kind="stable")
-            h, first = h[order], None
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            return h[first], np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)
+            return _owned(h[order], lo[order], more[order])
 
-        def blobs(h, lo, hi):
+        def blobs(h, lo, more):
             for s, part in C.split_by_shard(h, shards):
-                n = part.stop - part.start
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([h[part].tobytes()], pa.binary()), pa.array([lo[part].tobytes() + (hi[part] - lo[part]).tobytes()], pa.binary()), pa.array([n], pa.int64())], ["shard", "keys", "values", "n"])
+                own, n = lo[part], part.stop - part.start
+                least, most = int(own.min()), int(own.max())
+                ids = (own - least).astype("<u4") if most - least < 1 << 32 else own
+                values = np.array([least], "<i8").tobytes() + np.packbits(more[part]).tobytes() + ids.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([h[part].tobytes()], pa.binary()), pa.array([values], pa.binary()), pa.array([n], pa.int64())], ["shard", "keys", "values", "n"])
 
         for b in C.slices(batches, "text"):
-            h, _, _, _, at = units(*C.text_bytes(b["text"]))
+            u, words, _, _, at = units(*C.text_bytes(b["text"]))
+            h, at = runs(u, words, at, block_words)
             if len(h):
-                own = np.repeat(b["id"].to_numpy(), np.diff(at))
-                have.append((h, own, own))
+                have.append((h, np.repeat(b["id"].to_numpy(), np.diff(at)), np.zeros(len(h), bool)))
             if sum(len(x[0]) for x in have) > FLUSH:
                 have.append(out())
                 if len(have[-1][0]) > FLUSH // 2:
@@ -234,41 +259,38 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_wo
     def merge(k, table):
         s = k[0].as_py()
         h = np.concatenate([np.frombuffer(x, U64) for x in table["keys"].to_pylist()])
-        lo, hi = [], []
+        lo, more = [], []
         for raw, n in zip(table["values"].to_pylist(), table["n"].to_pylist()):
-            lo.append(np.frombuffer(raw, "<i8", n))
-            hi.append(lo[-1] + np.frombuffer(raw, "<i8", n, 8 * n))
+            bits = -(-n // 8)
+            more.append(np.unpackbits(np.frombuffer(raw, "u1", bits, 8), count=n).astype(bool))
+            if len(raw) == 8 + bits + 4 * n:
+                lo.append(np.frombuffer(raw, "<u4", n, 8 + bits) + np.frombuffer(raw, "<i8", 1))
+            else:
+                lo.append(np.frombuffer(raw, "<i8", n, 8 + bits))
         order = np.argsort(h, kind="stable")
-        h = h[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        lo, hi = np.minimum.reduceat(np.concatenate(lo)[order], first), np.maximum.reduceat(np.concatenate(hi)[order], first)
-        shared = lo < hi
-        C.put_columns(folder, f"unit-{s:06d}", [h[first][shared], lo[shared], np.ones(int(shared.sum()), np.uint8)])
+        h, lo, shared = _owned(h[order], np.concatenate(lo)[order], np.concatenate(more)[order])
+        C.put_columns(folder, f"run-{s:06d}", [h[shared], lo[shared], np.ones(int(shared.sum()), np.uint8)])
         return pa.table({"shard": pa.array([s], pa.int32()), "shared": pa.array([int(shared.sum())], pa.int64())})
 
     done = docs.mapInArrow(collect, "shard int, keys binary, values binary, n long").groupBy("shard").applyInArrow(merge, "shard int, shared long").collect()
     for s in set(range(shards)) - {r["shard"] for r in done}:
-        C.put_columns(folder, f"unit-{s:06d}", [np.zeros(0, U64)] * 3)
+        C.put_columns(folder, f"run-{s:06d}", [np.zeros(0, U64)] * 3)
 
     def look_up(batches):
-        table = C.ShardedArrays(folder, "unit", shards, ["<u8", "<i8", "u1"])
+        table = C.ShardedArrays(folder, "run", shards, ["<u8", "<i8", "u1"])
         for b in C.slices(batches, "text"):
             h, words, _, _, at = units(*C.text_bytes(b["text"]))
-            u, back = np.unique(h, return_inverse=True)
+            r, first = runs(h, words, at, block_words)
+            u, back = np.unique(r, return_inverse=True)
             owner, shared = (x[back] for x in table.find(u))
             ids, ts = b["id"].to_numpy(), b["t"].to_numpy()
             rows = []
             for i in range(len(ids)):
-                part = slice(at[i], at[i + 1])
-                is_shared = shared[part] > 0
-                if not is_shared.any():
-                    continue
-                edge = np.flatnonzero(np.diff(np.r_[0, is_shared, 0]))
-                total = np.r_[0, np.cumsum(words[part])]
-                owners = [owner[part][lo:hi] for lo, hi in zip(edge[::2], edge[1::2]) if total[hi] - total[lo] >= block_words]
-                own = np.unique(np.concatenate(owners)) if owners else np.zeros(0, np.int64)
+                part = slice(first[i], first[i + 1])
+                own = np.unique(owner[part][shared[part] > 0])
                 later = own[own < ids[i]]
                 if len(later) or ids[i] in own:
+                    part = slice(at[i], at[i + 1])
                     rows.append((int(ids[i]), int(ts[i]), h[part].tobytes(), words[part].astype("<u4").tobytes(), later.tolist()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["id", "t", "h", "words", "owners"])
