@@ -86,6 +86,20 @@ def test_kneser_ney(spark):
     close([(x["n_tokens"], x["n_known"], x["train_tokens"], x["base_score"], x["score"]) for x in got.collect()], brute_force(rows, lambda i: fold(i) != 1))
 
 
+@pytest.mark.parametrize("shards", [3, 64, 96, 200])
+def test_pairs_of_a_context_share_its_shard(shards):
+    edge = np.array([(s << 64) // shards for s in range(1, shards)], np.uint64)
+    r = np.random.default_rng(1)
+    v = np.repeat(np.r_[edge, edge - np.uint64(1), edge + np.uint64(1)], 40)
+    keys = kneser_ney.pair_keys(v, r.integers(0, 2**64, len(v), dtype=np.uint64), np.array([kneser_ney.BEGIN]))
+
+    def shard(hashes):
+        return {int(h): s for s, part in C.split_by_shard(np.sort(hashes), shards) for h in np.sort(hashes)[part]}
+
+    of_word, of_pair = shard(v), shard(keys)
+    assert all(of_word[int(a)] == of_pair[int(k)] for a, k in zip(v, keys))
+
+
 def test_kneser_ney_odd_rows(spark, odd):
     got = kneser_ney.train_and_score(odd, F.lit(True), keep=["doc_id"]).collect()
     close([(x["n_tokens"], x["n_known"], x["train_tokens"], x["base_score"], x["score"]) for x in got], brute_force(ODD, lambda i: True))

@@ -120,8 +120,8 @@ def map_columns(folder: str, name: str, dtypes: list[str]) -> list[np.ndarray]:
 
 
 def shard_bounds(shards: int) -> np.ndarray:
-    """First hash of each shard but the first; shards cut the range of unsigned 64-bit hashes evenly."""
-    return np.array([(s << 64) // shards for s in range(1, shards)], U64)
+    """First hash of each shard but the first; shards cut the range of unsigned 64-bit hashes evenly, by the top 24 bits alone."""
+    return np.array([(s << 24) // shards << 40 for s in range(1, shards)], U64)
 
 
 class ShardedArrays:

@@ -221,6 +221,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         except FileNotFoundError:  # no pair fell into this shard
             ctx, own = np.zeros(0, U64), [np.zeros(0, "<i8")] * 4
         at = np.searchsorted(words, ctx)
+        assert len(ctx) == 0 or (at[-1] < len(words) and (words[at] == ctx).all()), "a context's pairs lie in its word's shard"
         for f, o in zip(figures, own):
             f[at] = o
         inside = np.isin(hot_keys, words)
