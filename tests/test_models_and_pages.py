@@ -128,3 +128,11 @@ def test_evaluate(spark):
     exact = evaluate.by_label(evaluate.counts(gold, got, exact=True)).where("label = 'TOTAL'").first()
     assert exact["true_positive"] == 0 and exact["f1"] == 0
     assert "TOTAL" in evaluate.report(evaluate.by_label(evaluate.counts(gold, got)))
+
+
+def test_token_decode_reads_all_components(spark, tmp_path):
+    from veilspan.plans import queries
+
+    last = [-1.0] * 60 + [1.0, 1.0, 1.0, -1.0]
+    spark.createDataFrame([(1, last)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r["spans"] for r in queries.QUERIES["q37_token_decode"](spark, str(tmp_path)).collect()] == [[[10, 10, 0]]]
