@@ -7,11 +7,12 @@ pre-tokens are found by hash, so that each distinct one of a slice is looked up
 2. any other is merged by rank, with a heap of candidate pairs over a doubly linked list of bytes.
 
 Answers are kept for later slices in two generations of bounded size. The ids of a text are gathered from the distinct
-pre-tokens' ids; decoding gathers each id's bytes, and a text whose decoded bytes were not its own would be encoded again
-without hashes (no such text is known).
+pre-tokens' ids; decoding gathers each id's bytes. Whatever is encoded is decoded at once, and a text whose bytes did not
+come back, because two of its pre-tokens shared a hash, is encoded again without hashes.
 
 Defined cases: a null or empty text has no ids; special tokens' names are ordinary text; lone code points, control
-characters and white space of any kind are kept byte for byte; repeated rows are encoded each.
+characters and white space of any kind are kept byte for byte; repeated rows are encoded each; a kept column that bears a
+result's name gives way to the result.
 """
 
 from __future__ import annotations
@@ -238,19 +239,25 @@ class Codec:
         return [self.numbers[at]] if at >= 0 else merge(raw, self.ranks)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and where each text's begin."""
+        """All ids in a row, and where each text's begin. Their bytes are the texts' bytes."""
         ids, counts = [], np.zeros(len(texts), np.int64)
         for part, owners, heads in _pieces(texts):
-            got, n = self._encode(part, heads)
+            raw = part.encode("utf-8", "surrogatepass")
+            got, n = self._encode(part, raw, heads)
+            if self.decode(got.tolist()) != raw:
+                own = [self.encode_plainly(part[a:b]) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(part)])]
+                got, n = np.array([i for x in own for i in x], self.kind), np.array([len(x) for x in own])
             ids.append(got)
             np.add.at(counts, owners, n)
         return (np.concatenate(ids) if ids else np.zeros(0, self.kind)), np.r_[0, np.cumsum(counts)]
 
-    def _encode(self, text: str, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, text: str, raw: bytes, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
         starts = pretoken_starts(cp, heads)
-        ends = np.r_[starts[1:], len(cp)]
-        h = C.span_hashes(cp, starts, ends)
+        bounds = np.r_[starts, len(cp)]
+        if len(raw) > len(cp):  # where the code points begin among the bytes
+            bounds = np.r_[0, np.cumsum(1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000))][bounds]
+        h = C.span_hashes(np.frombuffer(raw, np.uint8), bounds[:-1], bounds[1:])
         h[h == 0] = 1
         if self.used > ARENA:
             self._empty()
@@ -262,7 +269,7 @@ class Codec:
             new, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
             first = missing[first]
             piece = self.piece
-            ids = [piece(text[s:e].encode("utf-8", "surrogatepass")) for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+            ids = [piece(raw[s:e]) for s, e in zip(bounds[first].tolist(), bounds[first + 1].tolist())]
             where, size = self._store(new, ids)
             begins[missing], sizes[missing] = where[back], size[back]
         total = np.zeros(len(sizes) + 1, np.int64)
@@ -279,7 +286,7 @@ class Codec:
         import public_tokenizers
         import regex
 
-        return [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in self.piece(m.encode())]
+        return [i for m in regex.findall(public_tokenizers.PATTERN, text) for i in self.piece(m.encode("utf-8", "surrogatepass"))]
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -323,52 +330,44 @@ def codec(path: str) -> Codec:
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` with ids (array of int) and n_tokens."""
-    keep = list(keep or [])
+    keep = C.kept(keep, ["ids", "n_tokens"])
+    own = C.free_name(keep, "__text")
 
     def run(batches):
         c = codec(vocabulary)
-        for b in C.slices(batches, "__text"):
-            ids, at = c.encode(b["__text"].to_pylist())
+        for b in C.slices(batches, own):
+            ids, at = c.encode(b[own].to_pylist())
             yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32))), pa.array(np.diff(at))], [*keep, "ids", "n_tokens"])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, _schema(df, keep, "ids array<int>, n_tokens long"))
+    return df.select(*keep, F.col(text).alias(own)).mapInArrow(run, C.typed(df, keep, "ids array<int>, n_tokens long"))
 
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` with decoded (binary). Null ids: null."""
-    keep = list(keep or [])
+    keep = C.kept(keep, ["decoded"])
+    own = C.free_name(keep, "__ids")
 
     def run(batches):
         c = codec(vocabulary)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array([None if x is None else c.decode(x) for x in b["__ids"].to_pylist()], pa.binary())], [*keep, "decoded"])
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array([None if x is None else c.decode(x) for x in b[own].to_pylist()], pa.binary())], [*keep, "decoded"])
 
-    return df.select(*keep, F.col(ids).alias("__ids")).mapInArrow(run, _schema(df, keep, "decoded binary"))
-
-
-def _schema(df: DataFrame, keep: list[str], more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields), more])
+    return df.select(*keep, F.col(ids).alias(own)).mapInArrow(run, C.typed(df, keep, "decoded binary"))
 
 
 def round_trip(df: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` with n_tokens, and SHA-256 of the ids (little-endian, 32 bits each) and of the decoded bytes."""
-    keep = list(keep or [])
+    keep = C.kept(keep, ["n_tokens", "ids_sha256", "decoded_sha256"])
+    own = C.free_name(keep, "__text")
 
     def run(batches):
         c = codec(vocabulary)
-        for b in C.slices(batches, "__text", 4 << 20):
-            texts = b["__text"].to_pylist()
-            ids, at = c.encode(texts)
+        for b in C.slices(batches, own, 4 << 20):
+            ids, at = c.encode(b[own].to_pylist())
             four, every = ids.astype("<u4"), ids.tolist()
-            a, d, n = [], [], np.diff(at)
-            for i, t in enumerate(texts):
-                lo, hi = at[i], at[i + 1]
-                own, raw = four[lo:hi], c.decode(every[lo:hi])
-                if raw != (t or "").encode("utf-8", "surrogatepass"):
-                    own = np.array(c.encode_plainly(t), "<u4")
-                    raw, n[i] = c.decode(own.tolist()), len(own)
-                a.append(hashlib.sha256(own.tobytes()).hexdigest())
-                d.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(n.astype(np.int64)), pa.array(a), pa.array(d)], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, _schema(df, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+            cuts = list(zip(at[:-1].tolist(), at[1:].tolist()))
+            a = [hashlib.sha256(four[lo:hi]).hexdigest() for lo, hi in cuts]
+            d = [hashlib.sha256(c.decode(every[lo:hi])).hexdigest() for lo, hi in cuts]
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(np.diff(at).astype(np.int64)), pa.array(a), pa.array(d)], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return df.select(*keep, F.col(text).alias(own)).mapInArrow(run, C.typed(df, keep, "n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,13 +23,16 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Where that is unset, a temporary folder serves a local master (tests),
+    whose executors are this machine; on a cluster it is an error."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
         set_dir = sc._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get().rstrip("/")
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="veilspan-shared-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,6 +54,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shards_for(df: DataFrame, columns: list[str], bytes_each: int = 64 << 20) -> int:
+    """How many shards keep each near ``bytes_each`` of the columns' bytes, and no fewer than the shuffle has partitions. The
+    size is the optimiser's estimate, or counted where it has none."""
+    spark, own = df.sparkSession, df.select(*columns)
+    size = int(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:
+        size = own.agg(F.sum(sum((F.coalesce(F.octet_length(c), F.lit(8)) for c in columns), F.lit(0)).cast("long"))).first()[0] or 0
+    return min(1 << 16, max(shuffle_partitions(spark), -(-size // bytes_each)))
+
+
 def _local(folder: str) -> str | None:
     u = urlparse(folder)
     return u.path if u.scheme in ("", "file") else None
@@ -76,22 +92,28 @@ def put_file(folder: str, name: str, parts: list[bytes]) -> None:
 _FETCHED: dict[str, str] = {}
 
 
+def _fetched(folder: str, name: str) -> str:
+    """A copy of a remote file in a folder of this process, which is removed when the process ends."""
+    key = f"{folder}/{name}"
+    if key not in _FETCHED:
+        from pyarrow import fs
+
+        if not _FETCHED:
+            _FETCHED[""] = tempfile.mkdtemp(prefix="veilspan-fetched-")
+            atexit.register(shutil.rmtree, _FETCHED[""], ignore_errors=True)
+        where, base = fs.FileSystem.from_uri(folder)
+        full = os.path.join(_FETCHED[""], hashlib.sha256(key.encode()).hexdigest())
+        with where.open_input_stream(f"{base}/{name}") as src, open(full, "wb") as out:
+            while piece := src.read(1 << 22):
+                out.write(piece)
+        _FETCHED[key] = full
+    return _FETCHED[key]
+
+
 def map_file(folder: str, name: str) -> np.ndarray:
     """The file's bytes, memory-mapped. From a store without local paths it is fetched once per Python worker."""
     path = _local(folder)
-    if path is None:
-        key = f"{folder}/{name}"
-        if key not in _FETCHED:
-            from pyarrow import fs
-
-            where, base = fs.FileSystem.from_uri(folder)
-            _FETCHED[key] = os.path.join(tempfile.mkdtemp(), name)
-            with where.open_input_stream(f"{base}/{name}") as src, open(_FETCHED[key], "wb") as out:
-                while piece := src.read(1 << 22):
-                    out.write(piece)
-        full = _FETCHED[key]
-    else:
-        full = f"{path}/{name}"
+    full = _fetched(folder, name) if path is None else f"{path}/{name}"
     if os.path.getsize(full) == 0:
         return np.zeros(0, np.uint8)
     return np.memmap(full, np.uint8, "r")
@@ -172,21 +194,6 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
 
 # ---------------------------------------------------------------- vectorised text
 
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse, modulo 2**64."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_P, _P_INV)):
-            p = np.full(n, U64(base))
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers."""
     x = x ^ (x >> U64(33))
@@ -197,12 +204,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_KEY = U64(0x2D358DCCAA6C78A5)
+#: Keeps the first n bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], U64)
+#: Spans of more bytes are hashed one by one.
+LONG = 256
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each symbols[start:end]: equal spans, equal hashes, wherever they stand."""
-    up, down = _powers(len(symbols) + 1)
-    total = np.zeros(len(symbols) + 1, U64)
-    np.cumsum((symbols.astype(U64) + U64(1)) * up[:-1], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each symbols[start:end]: equal spans, equal hashes, wherever they stand. Each eight bytes go through
+    the finaliser before the next are taken in, so that no algebra of positions makes spans collide; long spans take XXH64."""
+    import xxhash
+
+    size = symbols.itemsize
+    raw = np.ascontiguousarray(symbols).view(np.uint8)
+    at, n = np.asarray(starts, np.int64) * size, (np.asarray(ends, np.int64) - starts) * size
+    out = mix64(n.astype(U64) * U64(0x9E3779B97F4A7C15) ^ _KEY)
+    if not len(out):
+        return out
+    words = np.ndarray((len(raw) + 1,), "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix64(out ^ (words[at] & _FIRST[np.minimum(n, 8)]))
+    rest = np.flatnonzero((n > 8) & (n <= LONG))
+    for done in range(8, LONG, 8):
+        if not len(rest):
+            break
+        left = n[rest] - done
+        out[rest] = mix64(out[rest] ^ (words[at[rest] + done] & _FIRST[np.minimum(left, 8)]))
+        rest = rest[left > 8]
+    for i in np.flatnonzero(n > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(raw[at[i] : at[i] + n[i]], int(_KEY))
+    return out
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -289,6 +320,32 @@ def words(raw: np.ndarray, off: np.ndarray, limit: int = 1 << 20) -> tuple[np.nd
 # ---------------------------------------------------------------- columns
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or that behind as many underscores as none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def kept(keep: list[str] | tuple[str, ...] | None, results: list[str]) -> list[str]:
+    """The columns to keep: one that bears the name of a result gives way to it."""
+    own = {r.lower() for r in results}
+    return [k for k in keep or [] if k.lower() not in own]
+
+
+def with_text(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
+    """The columns to keep and the text, which is not sent twice, and the text's name among them."""
+    same = next((k for k in keep if k == text), None)
+    name = same or free_name(keep, "__text")
+    return df.select(*keep) if same else df.select(*keep, F.col(text).alias(name)), name
+
+
+def typed(df: DataFrame, keep: list[str], more: str) -> str:
+    """A schema of the kept columns and ``more``."""
+    return ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in (df.schema[k] for k in keep)), more])
+
+
 def fold(column: Column, folds: int = 5) -> Column:
     """crc32 of the value as text, modulo ``folds``; a null counts as empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % folds

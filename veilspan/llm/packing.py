@@ -6,12 +6,12 @@ fixed windows cut it: a document's pieces follow from its offset and length alon
 does not begin with its document, or does not end with it, is a boundary record.
 
 Defined cases: a null or empty text is its end id alone; a repeated row is packed each time; an empty table gives no
-sequence; the last sequence may be short, and is the only one that needs padding.
+sequence; the last sequence may be short, and is the only one that needs padding; a kept column that bears a result's name
+gives way to the result.
 """
 
 from __future__ import annotations
 
-import base64
 import os
 import zlib
 
@@ -28,8 +28,8 @@ _TOKENIZERS: dict[str, object] = {}
 
 
 class Tokenizer:
-    """Ids as the tokenizer file gives them, without special tokens added. Given the same vocabulary as ranks, distinct
-    pre-tokens are encoded by these; a text that names an added token goes through the file's own tokenizer."""
+    """Ids as the tokenizer file gives them, without special tokens added. Given the same vocabulary as ranks, texts are
+    encoded by these (``bpe``); a text that names an added token goes through the file's own tokenizer."""
 
     def __init__(self, path: str, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,7 +39,7 @@ class Tokenizer:
         self.size = self.own.get_vocab_size()
         self.added = [x.content for x in self.own.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.fast = bpe.Codec(ranks, _by_ranks(ranks)) if ranks else None
+        self.fast = bpe.codec(ranks) if ranks else None
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin. ``texts`` isn't empty."""
@@ -53,13 +53,8 @@ class Tokenizer:
         return ids.astype(self.kind), at.astype(np.int64)
 
 
-def _by_ranks(path: str):
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+_PASS_ONE = ["__part", "__local", "doc_tokens", "ids"]
+_PIECES = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset", "boundary"]
 
 
 def tokenizer(path: str, ranks: str | None = None) -> Tokenizer:
@@ -69,13 +64,15 @@ def tokenizer(path: str, ranks: str | None = None) -> Tokenizer:
 
 
 def tokenised(docs: DataFrame, path: str, ranks: str | None, end: int, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Pass one, written: columns ``keep``, part, local (tokens before it in its partition), doc_tokens, ids (binary)."""
+    """Pass one, written: columns ``keep``, __part, __local (tokens before it in its partition), doc_tokens, ids (binary)."""
+    keep = C.kept(keep, _PASS_ONE)
+    own = C.free_name([*keep, *_PASS_ONE], "__text")
 
     def run(batches):
         t = tokenizer(path, ranks)
         part, local = TaskContext.get().partitionId(), 0
-        for b in C.slices(batches, "__text", 4 << 20):
-            ids, at = t(b["__text"].to_pylist())
+        for b in C.slices(batches, own, 4 << 20):
+            ids, at = t(b[own].to_pylist())
             n = len(at) - 1
             # The end id behind each document.
             begins = at + np.arange(n + 1)
@@ -85,34 +82,35 @@ def tokenised(docs: DataFrame, path: str, ranks: str | None, end: int, text: str
             every[mask] = ids
             size = every.itemsize
             column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((begins * size).astype("<i8").tobytes()), pa.py_buffer(every.tobytes())])
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(np.full(n, part, np.int32)), pa.array(begins[:-1] + local), pa.array(np.diff(begins)), column.cast(pa.binary())], [*keep, "part", "local", "doc_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(np.full(n, part, np.int32)), pa.array(begins[:-1] + local), pa.array(np.diff(begins)), column.cast(pa.binary())], [*keep, *_PASS_ONE])
             local += int(begins[-1])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return C.written(docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, part int, local long, doc_tokens long, ids binary"), "packing")
+    schema = C.typed(docs, keep, "__part int, __local long, doc_tokens long, ids binary")
+    return C.written(docs.select(*keep, F.col(text).alias(own)).mapInArrow(run, schema), "packing")
 
 
 def offsets(rows: DataFrame) -> DataFrame:
     """Pass two: each partition's offset, from the totals of those before it. One row a partition of pass one."""
-    totals = rows.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()
+    totals = rows.groupBy("__part").agg(F.sum("doc_tokens").alias("n")).collect()
     at, out = 0, []
-    for r in sorted(totals, key=lambda r: r["part"]):
-        out.append((r["part"], at))
+    for r in sorted(totals, key=lambda r: r["__part"]):
+        out.append((r["__part"], at))
         at += r["n"]
-    return rows.sparkSession.createDataFrame(out or [], "part int, before long")
+    return rows.sparkSession.createDataFrame(out or [], "__part int, __before long")
 
 
 def pack(docs: DataFrame, path: str, ranks: str | None = None, length: int = 1024, end: int = 0, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row a piece: columns ``keep``, start, length, ids (binary), doc_tokens, sequence_id, offset, boundary."""
-    rows = tokenised(docs, path, ranks, end, text, keep)
+    keep = C.kept(keep, [*_PASS_ONE, *_PIECES, "__before", "__at"])
+    rows = tokenised(docs, path, ranks, end, text, tuple(keep))
     size = 2 if _vocabulary(path) <= 1 << 16 else 4
     where = F.broadcast(offsets(rows))  # as many rows as pass one had partitions
-    rows = rows.join(where, "part").withColumn("at", F.col("local") + F.col("before"))
-    window = F.explode(F.sequence(F.floor(F.col("at") / length), F.floor((F.col("at") + F.col("doc_tokens") - 1) / length)))
+    rows = rows.join(where, "__part").withColumn("__at", F.col("__local") + F.col("__before"))
+    window = F.explode(F.sequence(F.floor(F.col("__at") / length), F.floor((F.col("__at") + F.col("doc_tokens") - 1) / length)))
     rows = rows.withColumn("sequence_id", window)
-    first = F.greatest(F.col("at"), F.col("sequence_id") * length)
-    last = F.least(F.col("at") + F.col("doc_tokens"), (F.col("sequence_id") + 1) * length)
-    rows = rows.withColumn("start", first - F.col("at")).withColumn("length", last - first).withColumn("offset", first - F.col("sequence_id") * length)
+    first = F.greatest(F.col("__at"), F.col("sequence_id") * length)
+    last = F.least(F.col("__at") + F.col("doc_tokens"), (F.col("sequence_id") + 1) * length)
+    rows = rows.withColumn("start", first - F.col("__at")).withColumn("length", last - first).withColumn("offset", first - F.col("sequence_id") * length)
     piece = F.substring(F.col("ids"), (F.col("start") * size + 1).cast("int"), (F.col("length") * size).cast("int"))
     boundary = (F.col("start") > 0) | (F.col("start") + F.col("length") < F.col("doc_tokens"))
     return rows.select(*keep, "start", "length", piece.alias("ids"), "doc_tokens", "sequence_id", "offset", boundary.alias("boundary"))
@@ -127,12 +125,11 @@ def _vocabulary(path: str) -> int:
 def digests(pieces: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The pieces with ids_crc32 in place of ids: over little-endian unsigned 32-bit ids."""
     kind = np.uint16 if _vocabulary(path) <= 1 << 16 else np.uint32
-    names = [*keep, "start", "length", "doc_tokens", "sequence_id", "offset", "boundary"]
+    names = [*C.kept(keep, [*_PIECES, "ids_crc32"]), *(n for n in _PIECES if n != "ids")]
 
     def run(batches):
         for b in batches:
             crc = [zlib.crc32(np.frombuffer(x.as_buffer(), kind).astype("<u4")) for x in b["ids"]]
             yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(crc, pa.int64())], [*names, "ids_crc32"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.select(*names).schema.fields)
-    return pieces.select(*names, "ids").mapInArrow(run, f"{fields}, ids_crc32 long")
+    return pieces.select(*names, "ids").mapInArrow(run, C.typed(pieces, names, "ids_crc32 long"))
