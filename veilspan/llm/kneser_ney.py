@@ -2,12 +2,13 @@
 
 Tokens are white-space-separated words (A-Z in lower case) and one end mark a text; words are known by 64-bit hashes.
 Counting sums pairs within each task first and moves them as blobs of arrays, one per range of hashes (a shard), so no row
-per token crosses a shuffle. A pair's shard follows from its first word, so that a context's figures are whole in one
+per token crosses a shuffle. Shards are as many as the texts' bytes ask for, so that a task's share is bounded. A pair's shard follows from its first word, so that a context's figures are whole in one
 shard; contexts frequent enough to outweigh a shard are spread over all shards instead and their figures, at most a few
 for each shard, are added up by the driver. Scorers map the shards' files and look up sorted distinct hashes.
 
 Defined cases: a null text is empty and has the end mark alone; a null id counts as empty text when folds are dealt;
-repeated rows count and are scored once each; with no training rows every token has probability 1 / (V + 1) = 1.
+repeated rows count and are scored once each; with no training rows every token has probability 1 / (V + 1) = 1; a kept column
+that bears a result's name gives way to the result.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def _joined(table: pa.Table, dtypes: list[str]) -> list[np.ndarray]:
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Count all rows of ``docs`` and write the model's arrays to the shared folder."""
     spark = docs.sparkSession
-    shards, folder = C.shuffle_partitions(spark), C.new_folder(spark, "kneser-ney")
+    shards, folder = C.shards_for(docs, [text]), C.new_folder(spark, "kneser-ney")
     docs = docs.select(F.col(text).alias("text"))
 
     def count_words(batches):
@@ -213,6 +214,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         w, seen = C.summed(*_joined(table, ["<u4"]))
         words, n = C.map_columns(folder, f"word-{s:06d}", ["<u8", "<i8"])
         at = np.searchsorted(words, w)
+        assert len(w) == 0 or (at[-1] < len(words) and (words[at] == w).all()), "a word that follows another is counted"
         before = np.zeros(len(words), "<u4")
         before[at] = seen
         figures = np.zeros((4, len(words)), "<i8")
@@ -224,7 +226,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         assert len(ctx) == 0 or (at[-1] < len(words) and (words[at] == ctx).all()), "a context's pairs lie in its word's shard"
         for f, o in zip(figures, own):
             f[at] = o
-        inside = np.isin(hot_keys, words)
+        inside = np.isin(hot_keys, words)  # a hot context lies in one shard: in this one, or not
         at = np.searchsorted(words, hot_keys[inside])
         figures[:, at] = hot_figures[inside].T
         C.put_columns(folder, f"vocab-{s:06d}", [words, n, before, figures[0], *(f.astype("<u4") for f in figures[1:])])
@@ -302,26 +304,30 @@ def log_probabilities(m: Model, w: np.ndarray, begins: np.ndarray) -> tuple[np.n
 
 def score(docs: DataFrame, m: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` (columns ``keep``) with n_tokens, n_known, base_score and score."""
-    keep = list(keep or [])
+    keep = C.kept(keep, _SCORES)
+    own_text = C.free_name(keep, "__text")
     plain = asdict(m)
 
     def run(batches):
         own = Model(**plain)
-        for b in C.slices(batches, "__text"):
-            w, begins = _tokens(b["__text"])
+        for b in C.slices(batches, own_text):
+            w, begins = _tokens(b[own_text])
             logs, count = log_probabilities(own, w, begins)
             at = begins[:-1]
             base = np.log10((count + 0.5) / (own.tokens + 0.5 * (own.types + 1)))
             cols = [b[c] for c in keep] + [pa.array(np.diff(begins).astype(np.int64)), pa.array(np.add.reduceat((count > 0).astype(np.int64), at)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(logs, at))]
-            yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays(cols, [*keep, *_SCORES])
 
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields), "n_tokens long, n_known long, base_score double, score double"])
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(*keep, F.col(text).alias(own_text))
+    return rows.mapInArrow(run, C.typed(docs, keep, "n_tokens long, n_known long, base_score double, score double"))
+
+
+_SCORES = ["n_tokens", "n_known", "base_score", "score"]
 
 
 def train_and_score(docs: DataFrame, train_when: Column, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Learn from the rows that ``train_when`` picks, score all; with train_tokens and perplexity."""
+    keep = C.kept(keep, ["train_tokens", "perplexity"])
     m = train(docs.where(train_when), text)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))  # the end mark makes a token at least
     return score(docs, m, text, keep).withColumn("train_tokens", F.lit(m.tokens).cast("long")).withColumn("perplexity", perplexity)
