@@ -1,6 +1,9 @@
 """Line dedup by pairwise alignment.
 
-A unit is a line, or a sentence of a line that holds several. A run is a stretch of units with ``block_words`` words or more
+A unit is a line, or a piece of one: lines are cut behind sentences, and sentences at words that they name themselves: of every
+WINDOW words in a row the one whose hash is smallest begins a unit. So whole lines and sentences are cut alike wherever they
+stand, and a passage inside longer ones is but for its first and last WINDOW - 1 words at most, even in lines without
+punctuation; a word that repeats the one before it begins none, and a row of one word is cut by its length. A run is a stretch of units with ``block_words`` words or more
 that would have fewer without its last unit, or without its first; every unit of a longer shared stretch lies in a run within
 it. Every run's hash has an owner: the smallest id among the documents that hold it. A later document is paired with the
 owners of its runs, never with all other holders, so a run in a thousand documents makes at most a thousand pairs, and none is
@@ -14,7 +17,8 @@ The hashes and owners of shared runs are sorted arrays in the shared folder, map
 
 Defined cases: a null or empty text stays as it is; rows without an id stay whole; rows that share an id count as one
 document, and lose nothing to each other; repeated rows lose the same units each; blank lines are no units, and go with the
-unit before them where that is deleted; a document may lose its whole text.
+unit before them where that is deleted; a document may lose its whole text; columns named removed_units or removed_words give
+way to the results.
 """
 
 from __future__ import annotations
@@ -31,12 +35,28 @@ from veilspan.llm import common as C
 U64 = np.uint64
 #: Words an aligned block must have to be deleted.
 BLOCK_WORDS = 20
+#: Words of which one at least begins a unit: a passage of 51 words holds whole units of 51 - 2 * 14 >= BLOCK_WORDS words.
+WINDOW = 15
 FLUSH = 3_000_000
 
 
 # ---------------------------------------------------------------- units
 
 
+def _named(h: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which words begin a unit by their hashes alone; ``line``: the number of each word's line or sentence."""
+    out = np.zeros(len(h), bool)
+    same = np.zeros(len(h), bool)
+    same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
+    if len(h) >= WINDOW:
+        least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+        out[least[line[WINDOW - 1 :] == line[: 1 - WINDOW]]] = True
+        out &= ~same
+    at = np.arange(len(h))
+    since = at - np.maximum.accumulate(np.where(same, 0, at))
+    return out | (same & (since % WINDOW == 0))
+
+
 def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, words, begins and ends (bytes) of all texts' units, and where each text's begin."""
     hashes, words, begins, ends = [], [], [], []
@@ -58,6 +78,7 @@ def units(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         new[1:] = (lines[s[1:]] > lines[e[:-1]]) | np.isin(piece[e[:-1] - 1], (33, 46, 63))
         at = np.searchsorted(s, heads)
         new[at[at < len(s)]] = True
+        new |= _named(C.span_hashes(piece, s, e), np.cumsum(new))
         f = np.flatnonzero(new)
         start, end = s[f], e[np.r_[f[1:] - 1, len(s) - 1]]
         hashes.append(C.span_hashes(piece, start, end))
@@ -224,7 +245,7 @@ def _owned(h: np.ndarray, ids: np.ndarray, more: np.ndarray) -> tuple[np.ndarray
 def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, t (the text's hash) and gone (sorted positions of units to delete) of the documents that lose any."""
     spark = docs.sparkSession
-    shards, folder = C.shuffle_partitions(spark), C.new_folder(spark, "line-owners")
+    shards, folder = C.shards_for(docs, [text]), C.new_folder(spark, "line-owners")
     docs = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def collect(batches):
@@ -324,9 +345,8 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_wo
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with shared blocks deleted from ``text``, and removed_units and removed_words behind its columns."""
     gone = deletions(docs, key, text, block_words).select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
-    rows = docs.withColumn("__k", F.col(key).cast("long")).withColumn("__h", F.xxhash64(text))
-    rows = rows.join(gone, (F.col("__k") == F.col("__id")) & (F.col("__h") == F.col("__t")), "left").drop("__k", "__h", "__id", "__t")
-    names = docs.columns
+    names = C.kept(docs.columns, ["removed_units", "removed_words"])
+    rows = docs.select(*names).join(gone, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__t")), "left").select(*names, "__gone")
 
     def delete(batches):
         for b in batches:
@@ -343,5 +363,4 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words:
                 texts = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays([*(texts if c == text else b[c] for c in names), pa.array(n_units), pa.array(n_words)], [*names, "removed_units", "removed_words"])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "removed_units long, removed_words long"])
-    return rows.mapInArrow(delete, fields)
+    return rows.mapInArrow(delete, C.typed(docs, names, "removed_units long, removed_words long"))
