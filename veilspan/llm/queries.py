@@ -25,7 +25,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
     docs = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
-    out = sharding.assign(docs, "doc_id", sharding.topology(SHARDS), sharding.topology(SHARDS + 1), [F.col("size"), F.col("text_crc32")])
+    tree = sharding.topology(SHARDS)
+    out = sharding.assign(docs, "doc_id", tree, sharding.grow(tree), ["size", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
