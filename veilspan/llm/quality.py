@@ -5,11 +5,12 @@ whether it repeats the word before it), which carries over to words never seen.
 weights. A feature's value is its share of its stream's n-grams, so a text's score is a mean of weights and a sigmoid, and
 long texts weigh no more than short ones.
 
-Training reads a bounded sample of labelled rows (``bound``) in one task; scoring reads every text whole, with the non-zero
+Training reads a bounded sample of labelled rows (``bound`` rows, ``labelled.BOUND_BYTES`` of text) in one task; scoring reads every text whole, with the non-zero
 weights, at most the size of the table, sent along.
 
 Defined cases: a null or empty text has no n-gram and scores by the intercept alone; without labelled rows every score is
-0.5; repeated rows are scored each; ids labelled both ways teach nothing.
+0.5; repeated rows are scored each and teach once; ids labelled both ways teach nothing; a kept column that bears the score's
+name gives way to it.
 """
 
 from __future__ import annotations
@@ -123,17 +124,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
 
 def score(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
     """Columns ``keep`` and the score, 0 to 1."""
-    keep = list(keep or [])
+    keep = C.kept(keep, [name])
+    rows, own = C.with_text(docs, keep, text)
     sent = docs.sparkSession.sparkContext.broadcast((model[0].tobytes(), model[1].tobytes()))  # at most TABLE + 1 weights
 
     def run(batches):
         w = np.zeros(TABLE + 1)
         w[np.frombuffer(sent.value[0], "<i4")] = np.frombuffer(sent.value[1], np.float32)
-        for b in C.slices(batches, "__text", 1 << 20):
-            number, value, at = features(b["__text"])
+        for b in C.slices(batches, own, 1 << 20):
+            number, value, at = features(b[own])
             total = np.r_[0, np.cumsum(w[number] * value)]
             dot = w[INTERCEPT] + total[at[1:]] - total[at[:-1]]
             yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(1 / (1 + np.exp(-dot)))], [*keep, name])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, ", ".join([*fields, f"`{name}` double"]))
+    return rows.mapInArrow(run, C.typed(docs, keep, f"`{name}` double"))
