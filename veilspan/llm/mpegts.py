@@ -7,7 +7,9 @@ adaptation fields apart, reassembles elementary packets and keeps their timestam
 
 Defined cases: a null payload gives null media, and null media all-null columns; an empty payload gives tables and one
 empty PES packet; bytes that are no transport stream, or a cut one, give what could be read and say so in ``error``;
-repeated packets are dropped, lost ones counted. Equal payloads give equal media.
+packets repeated byte for byte (but for their clock) are dropped, lost ones counted, and a counter that jumps where the stream
+announces a discontinuity is no loss. Tables may span packets, and program 0 names the network table, no program. Equal
+payloads give equal media; a kept column that bears a result's name gives way to the result.
 """
 
 from __future__ import annotations
@@ -116,16 +118,29 @@ def write_stream(payload: bytes) -> bytes:
 
 
 def _tables(raw: np.ndarray, pid: np.ndarray, at: np.ndarray, unit: np.ndarray, wanted: int, table: int) -> list[bytes]:
-    """Distinct sound sections of one table, from packets that begin one and hold it whole."""
+    """Distinct sound sections of one table: several in a packet, or one over several."""
     out: dict[bytes, None] = {}
-    rows = np.flatnonzero((pid == wanted) & unit & (at < PACKET)).tolist()
-    # A table is repeated word for word; each wording is parsed once.
-    for row in dict.fromkeys(raw[r].tobytes()[at[r] :] for r in rows):
-        section = row[1 + row[0] :]
-        if len(section) > 7 and section[0] == table:
-            section = section[: 3 + ((section[1] & 15) << 8 | section[2])]
-            if len(section) > 11 and crc_mpeg(section) == 0:
+    own = np.flatnonzero((pid == wanted) & (at < PACKET))
+    heads = np.flatnonzero(unit[own])
+    parsed = set()
+    for k, h in enumerate(heads.tolist()):
+        row = raw[own[h]].tobytes()[at[own[h]] :]
+        if row in parsed:  # a table is repeated word for word; each wording is parsed once
+            continue
+        rest, to, alone = row[1 + row[0] :], h + 1, True
+        while len(rest) > 2 and rest[0] != 0xFF:
+            size = 3 + ((rest[1] & 15) << 8 | rest[2])
+            while len(rest) < size and to < len(own):
+                body, alone = raw[own[to]].tobytes()[at[own[to]] :], False
+                rest += body[1 : 1 + body[0]] if unit[own[to]] else body
+                if unit[own[to]]:
+                    break
+                to += 1
+            section, rest = rest[:size], rest[size:]
+            if len(section) == size > 11 and section[0] == table and crc_mpeg(section) == 0:
                 out[section] = None
+        if alone:
+            parsed.add(row)
     return list(out)
 
 
@@ -146,8 +161,8 @@ def read_stream(media: bytes) -> dict:
     at[~has] = PACKET
     for s in _tables(raw, pid, at, unit, 0, 0):
         found["programs"] += [(int.from_bytes(s[i : i + 2], "big"), int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF) for i in range(8, len(s) - 4, 4)]
-    for _, where in found["programs"]:
-        for s in _tables(raw, pid, at, unit, where, 2):
+    for number, where in found["programs"]:
+        for s in _tables(raw, pid, at, unit, where, 2) if number else []:  # program 0: the network table
             i = 12 + ((s[10] & 15) << 8 | s[11])
             while i < len(s) - 4:
                 found["streams"].append((int.from_bytes(s[i + 1 : i + 3], "big") & 0x1FFF, s[i]))
@@ -159,9 +174,15 @@ def read_stream(media: bytes) -> dict:
     for which, _ in found["streams"]:
         own = np.flatnonzero((pid == which) & has)
         step = counter[own[1:]] - counter[own[:-1]] & 15
+        fields = (control[own] & 2 > 0) & (raw[own, 4] > 0)
         again = step == 0
+        for i in np.flatnonzero(again).tolist():
+            same = raw[own[i]] == raw[own[i + 1]]
+            same[6:12] |= fields[i] and raw[own[i], 5] & 0x10 > 0  # a repeated packet has a clock of its own
+            again[i] = same.all()
+        announced = fields & (raw[own, 5] & 0x80 > 0)
         found["duplicates"] += int(again.sum())
-        found["continuity_errors"] += int((step > 1).sum())
+        found["continuity_errors"] += int(((step != 1) & ~again & ~announced[1:]).sum())
         own = own[np.r_[True, ~again]] if len(own) else own
         if not len(own):
             continue
@@ -198,13 +219,14 @@ def read_stream(media: bytes) -> dict:
 
 def write_media(df: DataFrame, payload: str = "payload", media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` with the payload as a transport stream."""
-    keep = list(keep or [])
+    keep = C.kept(keep, [media])
+    own = C.free_name(keep, "__payload")
 
     def run(batches):
-        for b in C.slices(batches, "__payload"):
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array([None if p is None else write_stream(p) for p in b["__payload"].to_pylist()], pa.binary())], [*keep, media])
+        for b in C.slices(batches, own):
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array([None if p is None else write_stream(p) for p in b[own].to_pylist()], pa.binary())], [*keep, media])
 
-    return df.select(*keep, F.col(payload).cast("binary").alias("__payload")).mapInArrow(run, _schema(df, keep, f"`{media}` binary"))
+    return df.select(*keep, F.col(payload).cast("binary").alias(own)).mapInArrow(run, C.typed(df, keep, f"`{media}` binary"))
 
 
 READ_COLUMNS = "programs array<struct<number:int,pid:int>>, streams array<struct<pid:int,type:int>>, packets long, continuity_errors long, duplicates long, timestamps array<long>, random_access array<long>, clocks array<long>, unit_sizes array<long>, payload binary, error string"
@@ -212,20 +234,17 @@ READ_COLUMNS = "programs array<struct<number:int,pid:int>>, streams array<struct
 
 def read_media(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` with what READ_COLUMNS lists."""
-    keep = list(keep or [])
     kinds = [pa.list_(pa.struct([("number", pa.int32()), ("pid", pa.int32())])), pa.list_(pa.struct([("pid", pa.int32()), ("type", pa.int32())])), *[pa.int64()] * 3, *[pa.list_(pa.int64())] * 4, pa.binary(), pa.string()]
     names = ["programs", "streams", "packets", "continuity_errors", "duplicates", "timestamps", "random_access", "clocks", "unit_sizes", "payload", "error"]
+    keep = C.kept(keep, names)
+    rows, own = C.with_text(df, keep, media)
 
     def run(batches):
-        for b in C.slices(batches, "__media"):
-            got = [{} if m is None else read_stream(m) for m in b["__media"].to_pylist()]
+        for b in C.slices(batches, own):
+            got = [{} if m is None else read_stream(m) for m in b[own].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), *(pa.array([g.get(n) for g in got], t) for n, t in zip(names, kinds))], [*keep, *names])
 
-    return df.select(*keep, F.col(media).alias("__media")).mapInArrow(run, _schema(df, keep, READ_COLUMNS))
-
-
-def _schema(df: DataFrame, keep: list[str], more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema.fields), more])
+    return rows.mapInArrow(run, C.typed(df, keep, READ_COLUMNS))
 
 
 def padded(text) -> object:
@@ -236,8 +255,12 @@ def padded(text) -> object:
     return F.concat(raw, F.unhex(F.repeat(F.lit("00"), more.cast("int"))))
 
 
+_DIGESTS = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "programs", "streams", "packets", "continuity_errors", "duplicates", "timestamps", "random_access", "clocks", "unit_sizes", "payload", "error"]
+
+
 def digests(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Every text as a stream, read back, with digests of both and of the features found."""
+    keep = tuple(C.kept(keep, _DIGESTS))
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
     media = write_media(df.select(*keep, size.alias("__n"), padded(F.col(text)).alias("__p")), "__p", "__m", [*keep, "__n"])
     back = read_media(media, "__m", [*keep, "__n", "__m"])
