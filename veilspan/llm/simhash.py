@@ -12,7 +12,7 @@ Links of all meetings are joined to components by label propagation over tables
 
 Defined cases: a null or empty text has no shingle and fingerprint 0, and links like any other; a text of fewer words than a
 shingle has is one shingle; words and repeats count as they stand; rows without an id get a fingerprint and no component;
-repeated rows and ids come out as often as they went in.
+repeated rows and ids come out as often as they went in; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,14 +58,15 @@ def fingerprint(text: str | None, width: int, seed: int) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and fp (long, the 64 bits)."""
+    keep = C.kept(keep, ["fp"])
+    own = C.free_name(keep, "__text")
 
     def run(batches):
-        for b in C.slices(batches, "__text"):
-            f = np.array([fingerprint(t, width, seed) for t in b["__text"].to_pylist()], U64)
+        for b in C.slices(batches, own):
+            f = np.array([fingerprint(t, width, seed) for t in b[own].to_pylist()], U64)
             yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(f.view(np.int64))], [*keep, "fp"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{fields}, fp long")
+    return docs.select(*keep, F.col(text).alias(own)).mapInArrow(run, C.typed(docs, keep, "fp long"))
 
 
 # ---------------------------------------------------------------- bit-sliced comparison
@@ -311,7 +312,8 @@ def firsts(docs: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
     named = docs.where(F.col(key).isNotNull()).join(kept, key, "left_semi")
     repeated = Window.partitionBy(key).orderBy(text)
-    named = named.withColumn("__row", F.row_number().over(repeated)).where("__row = 1").drop("__row")
+    row = C.free_name(docs.columns, "__row")
+    named = named.withColumn(row, F.row_number().over(repeated)).where(F.col(row) == 1).drop(row)
     return named.unionByName(docs.where(F.col(key).isNull()))
 
 
