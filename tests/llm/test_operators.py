@@ -1,6 +1,7 @@
 """Sharding, packing, near-duplicates, neighbours, line dedup, transport streams and the pipeline, against plain versions."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -29,7 +30,7 @@ def odd(spark):
 def test_sharding(spark):
     ids = spark.range(20_000).select(F.col("id").alias("doc_id"))
     for n in (1, 7, 16, 17):
-        rows = sharding.assign(ids, "doc_id", sharding.topology(n), sharding.topology(n + 1)).collect()
+        rows = sharding.assign(ids, "doc_id", sharding.topology(n), sharding.grow(sharding.topology(n))).collect()
         assert {r["grown_shard"] for r in rows if r["grown_shard"] != r["shard"]} == {n}
         sizes = np.bincount([r["shard"] for r in rows])
         assert len(sizes) == n and sizes.min() > 0.85 * len(rows) / n
@@ -37,19 +38,64 @@ def test_sharding(spark):
             assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s]))
 
 
+def plain_draw(key, path, weight):
+    digits = hashlib.md5(f"{path}/{key}".encode()).hexdigest()[:13]
+    return -math.log((int(digits, 16) + 0.5) / 2**52) / weight
+
+
+def plain_place(key, tree):
+    """The descent in plain Python, and how many draws it took."""
+    path, own, draws = "root", [(s.region, s.rack, i, s.weight) for i, s in enumerate(tree) if s.weight > 0], 0
+    for level in range(3):
+        weights = {}
+        for leaf in own:
+            weights[leaf[level]] = weights.get(leaf[level], 0) + leaf[3]
+        best = min(weights, key=lambda c: (plain_draw(key, f"{path}/{c}", weights[c]), c)) if len(weights) > 1 else next(iter(weights))
+        draws += len(weights) if len(weights) > 1 else 0
+        path, own = f"{path}/{best}", [leaf for leaf in own if leaf[level] == best]
+    return own[0][2], draws
+
+
+WEIGHTED = [sharding.Shard(i // 4, i // 2 % 2, w) for i, w in enumerate((1, 2, 3, 0, 1, 1, 1, 1))]
+
+
 def test_weights_and_movement(spark):
     ids = spark.range(30_000).select(F.col("id").alias("doc_id"))
-    tree = [sharding.Shard(i // 4, i // 2 % 2, w) for i, w in enumerate((1, 2, 3, 0, 1, 1, 1, 1))]
-    heavier = [*tree[:5], sharding.Shard(1, 0, 4.0), *tree[6:]]
-    rows = sharding.assign(ids, "doc_id", tree, heavier).collect()
+    heavier = [*WEIGHTED[:5], sharding.Shard(1, 0, 4.0), *WEIGHTED[6:]]
+    rows = sharding.assign(ids, "doc_id", WEIGHTED, heavier).collect()
     share = np.bincount([r["shard"] for r in rows], minlength=8) / len(rows)
     assert share[3] == 0 and np.allclose(share, np.array([1, 2, 3, 0, 1, 1, 1, 1]) / 10, atol=0.01)
-    assert all(r["grown_shard"] == 5 for r in rows if r["shard"] != r["grown_shard"])
+    grown = np.bincount([r["grown_shard"] for r in rows], minlength=8) / len(rows)
+    assert np.allclose(grown, np.array([1, 2, 3, 0, 1, 4, 1, 1]) / 13, atol=0.01)
+    moved = [(r["shard"], r["grown_shard"]) for r in rows if r["shard"] != r["grown_shard"]]
+    assert moved
+    for a, b in moved:
+        # Between regions rows go into the heavier one; in it, those that were there before go into the heavier rack, and in
+        # that into the heavier shard. Region 0, its racks and shards, and rack 1 of region 1 exchange nothing.
+        assert b >= 4 and (a < 4 or b in (4, 5)) and (a not in (4, 5) or b == 5)
+
+
+def test_descent_is_the_plain_one(spark):
+    tree = sharding.topology(17)
+    rows = sharding.assign(spark.range(2000).select(F.col("id").alias("doc_id")), "doc_id", tree, WEIGHTED).collect()
+    for r in rows:
+        shard, draws = plain_place(str(r["doc_id"]), tree)
+        assert r["shard"] == shard and draws <= 3 + 2 + 4  # one path, not every leaf
+        assert r["grown_shard"] == plain_place(str(r["doc_id"]), WEIGHTED)[0]
 
 
 def test_sharding_odd_rows(spark, odd):
-    assert sharding.assign(odd.drop("shard"), "doc_id", sharding.topology(4)).count() == len(ODD)
-    assert sharding.assign(odd.drop("shard").limit(0), "doc_id", sharding.topology(4)).count() == 0
+    got = sharding.assign(odd, "doc_id", sharding.topology(4)).collect()  # a column named shard gives way
+    assert len(got) == len(ODD) and got[0].asDict().keys() == {"doc_id", "text", "component_id", "shard", "slot", "grown_shard"}
+    assert {r["shard"] for r in got if r["doc_id"] == 1} == {plain_place("1", sharding.topology(4))[0]}
+    for s in range(4):
+        slots = sorted(r["slot"] for r in got if r["shard"] == s)
+        assert slots == list(range(len(slots)))
+    same = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit("x").alias("slot"))
+    assert sorted(r["slot"] for r in sharding.assign(same, "doc_id", sharding.topology(4)).collect()) == list(range(5000))
+    assert sharding.assign(odd.limit(0), "doc_id", sharding.topology(4)).count() == 0
+    with pytest.raises(ValueError):
+        sharding.place(F.lit("x"), [sharding.Shard(0, 0, 0)])
 
 
 # ---------------------------------------------------------------- packing
@@ -149,7 +195,7 @@ def test_meeting_of_tiles():
 
 
 def test_near_duplicates_odd_rows(spark, odd):
-    got = simhash.near_duplicates(odd.drop("component_id")).collect()
+    got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
     assert {r["component_id"] for r in got if r["doc_id"] in (2, 3, 5)} == {2} and [r["component_id"] for r in got if r["doc_id"] is None] == [None]
     kept = simhash.keep_first(odd).collect()
@@ -191,15 +237,19 @@ def test_pipeline_near_duplicates(spark, monkeypatch, odd):
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(mih, "BLOCK", 300)
+    monkeypatch.setattr(mih, "ENTRIES", 300)
     monkeypatch.setattr(mih, "CHUNK", 5)
+    short = []
+    monkeypatch.setattr(mih, "scanned", lambda rows, asks, k, own=mih.scanned: short.append(asks.count()) or own(rows, asks, k))
     r = np.random.default_rng(6)
     centres = r.standard_normal((20, 32))
     x = (centres[r.integers(0, 20, 1500)] + 0.4 * r.standard_normal((1500, 32))).astype(np.float32)
     x[100] = x[7]
     odd = [(2000, None), (2100, [0.0] * 32), (2200, [float("nan")] * 32), (2300, [1.0, None] * 16), (2400, [1.0]), (None, x[0].tolist()), (100, x[100].tolist())]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + odd
-    got = mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    df = spark.createDataFrame([(*x, 1, 2, 3, 4) for x in rows], "vec_id long, embedding array<float>, id int, v int, rank int, score int")
+    got = mih.nearest(df).collect()
+    assert sum(short) <= 3  # of 15 queries; the others were answered by the index
     assert {g["query_id"] for g in got} == set(range(0, 1500, 100))
     hit = 0
     for q in range(0, 1500, 100):
@@ -220,14 +270,40 @@ def test_few_or_no_vectors(spark):
     assert mih.nearest(spark.createDataFrame([], schema)).count() == 0
 
 
-def test_probing_finds_all_within():
-    r = np.random.default_rng(9)
-    codes = r.integers(0, 2**64, (20_000, 2), dtype=np.uint64)
-    codes[:50] = codes[60] ^ np.array([[1 << i, 3] for i in range(50)], np.uint64)
-    index = mih.Index(codes)
-    for radius in (0, 3, 8, 60):
-        want = np.flatnonzero(np.bitwise_count(codes ^ codes[60]).sum(axis=1) <= radius)
-        assert index.within(codes[60], radius).tolist() == want.tolist()
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**9), st.integers(0, 3), st.sampled_from([0, 2, 5]), st.integers(20, 384))
+def test_probing_retrieves_by_pigeonhole(seed, near, high, radius):
+    """Over all substrings and groups: every pair within near bits in some substring and the radius in all, once."""
+    r = np.random.default_rng(seed)
+    asked = r.integers(0, 2**64, (4, 6), dtype=np.uint64)
+    codes = np.concatenate([r.integers(0, 2**64, (60, 6), dtype=np.uint64), asked[r.integers(0, 4, 60)] ^ (r.integers(0, 2**64, (60, 6), dtype=np.uint64) & r.integers(0, 2**64, (60, 6), dtype=np.uint64) & r.integers(0, 2**64, (60, 6), dtype=np.uint64))])
+    values, got = mih.substrings(codes), []
+    for sub in range(24):
+        first = values[:, sub] >> 16 - high
+        for g in np.unique(first):
+            own = np.flatnonzero(first == g)
+            q, e = mih.search_group(sub, high, values[own, sub], codes[own], asked, near, radius)
+            got += zip(q.tolist(), own[e].tolist())
+    by = np.bitwise_count((asked[:, None] ^ codes[None]).view("<u2").reshape(4, 120, 24))
+    want = np.argwhere((by.min(axis=2) <= near) & (by.sum(axis=2) <= radius))
+    assert sorted(got) == [tuple(x) for x in want.tolist()]
+    assert {(i, j) for i, j in np.argwhere(by.sum(axis=2) <= min(radius, 24 * (near + 1) - 1)).tolist()} <= set(got)
+
+
+def test_far_queries_are_scanned(spark):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((600, 8)) * 0.01 + r.standard_normal(8)
+    x[500] = -50 * x[0]  # far from all: no probe reaches any
+    got = mih.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    d = np.sqrt(((x - x[500]) ** 2).sum(axis=1))
+    d[500] = np.inf
+    assert [g["vec_id"] for g in sorted(got, key=lambda g: g["rank"]) if g["query_id"] == 500] == np.argsort(d, kind="stable")[:10].tolist()
+
+
+def test_ties_at_the_last_rank(spark):
+    rows = [(0, [1.0, 0.0]), *((i, [1.0, 1.0]) for i in range(1, 30))]
+    got = mih.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert [g["vec_id"] for g in sorted(got, key=lambda g: g["rank"])] == list(range(1, 11))
 
 
 # ---------------------------------------------------------------- line dedup
@@ -304,7 +380,82 @@ def test_many_sharers_make_few_pairs(spark):
     p = passage(3)
     docs = spark.createDataFrame([(i, f"{passage(100 + i)}\n{p}") for i in range(300)], "doc_id long, text string")
     gone = linedup.deletions(docs).collect()
-    assert {r["id"] for r in gone} == set(range(1, 300)) and all(r["gone"] == [1] for r in gone)
+    assert {r["id"] for r in gone} == set(range(1, 300)) and len(gone) == 299
+    left = {r["doc_id"]: (r["text"], r["removed_words"]) for r in linedup.dedup(docs).collect()}
+    assert left == {0: (f"{passage(100)}\n{p}", 0), **{i: (passage(100 + i), 60) for i in range(1, 300)}}
+
+
+def plain_line_dedup(docs, least):
+    """Words that each document loses, by comparing it with all earlier ones: units in runs of ``least`` words or more that an
+    earlier document holds as they stand."""
+    own = {}
+    for i, t in docs:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        _, words, s, e, _ = linedup.units(raw, np.array([0, len(raw)]))
+        own[i] = ([bytes(raw[a:b]) for a, b in zip(s, e)], words.tolist())
+    out = {}
+    for i, (u, w) in own.items():
+        lost = set()
+        for a in range(len(u)):
+            for b in range(a + 1, len(u) + 1):
+                if sum(w[a:b]) >= least and any(v[k : k + b - a] == u[a:b] for j, (v, _) in own.items() if j < i for k in range(len(v))):
+                    lost |= set(range(a, b))
+        out[i] = sum(w[x] for x in lost)
+    return out
+
+
+def test_line_dedup_is_all_pairs(spark):
+    """Random corpora of few sentences: passages of several owners, repeated inside documents, reordered and cut."""
+    for seed in range(3):
+        r = random.Random(seed)
+        lines = [" ".join(r.choice("abcdefgh") + str(r.randrange(5)) for _ in range(r.randrange(2, 30))) + r.choice(["", "."]) for _ in range(5)]
+        docs = [(i, "".join(r.choice(lines) + r.choice(["\n", " "]) for _ in range(r.randrange(1, 9)))) for i in r.sample(range(1000), 24)]
+        got = {x["doc_id"]: x["removed_words"] for x in linedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert got == plain_line_dedup(docs, 20) and sum(got.values()) > 0
+
+
+def test_passages_inside_lines_without_punctuation(spark):
+    """Passages of 51 words and more go but for WINDOW - 1 words at either end, wherever they stand."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 7)))
+    shared = [[word() for _ in range(n)] for n in (51, 60, 300)]
+    docs, own = [], {}
+    for i in range(12):
+        parts = [[word() for _ in range(r.randrange(20, 60))] for _ in range(4)]
+        docs.append((i, " ".join(w for p in [parts[0], shared[0], parts[1], shared[1], parts[2], shared[2], parts[3]] for w in p)))
+        own[i] = sum(len(p) for p in parts)
+    rows = {x["doc_id"]: (x["text"], x["removed_words"]) for x in linedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[0] == (docs[0][1], 0)
+    for i in range(1, 12):
+        kept = len(rows[i][0].split())
+        assert own[i] <= kept <= own[i] + 3 * 2 * (linedup.WINDOW - 1)
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_nothing_unequal_is_deleted(spark, n):
+    """Words whose polynomial hashes modulo 2**64 agree whatever the multiplier."""
+    a, b = thue_morse(n)
+    tail = " ".join(["x"] * 40)
+    docs = [(1, f"{a} {tail}"), (2, f"{b} {b}"), (3, " ".join([a] * 30)), (4, " ".join([b] * 30))]
+    rows = {r["doc_id"]: r["text"] for r in linedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == dict(docs)
+
+
+def test_line_dedup_odd_rows(spark, odd):
+    p = passage(77)
+    df = odd.withColumns({"removed_units": F.lit(1), "removed_words": F.lit("x"), "__gone": F.lit(2)}).drop("__gone")
+    long = spark.createDataFrame([(100, f"{p}\n" * 2000, 1, "x", 1, "y"), (101, f"{p}\n{passage(78)}", 1, "x", 1, "y")], df.schema)
+    got = {r["doc_id"]: r for r in linedup.dedup(df.unionByName(long)).collect()}
+    assert got[101]["text"] == passage(78) and got[101]["removed_words"] == 60 and got[100]["removed_words"] == 0
+    assert got[7]["text"] == ODD[-1][1] and got[3]["text"] is None and got[2]["text"] == "" and got[None]["text"] == "a b"
+    assert got[1].asDict().keys() == set(df.columns)
 
 
 # ---------------------------------------------------------------- transport streams
@@ -333,7 +484,34 @@ def test_damaged_streams():
         assert mpegts.read_stream(bad)["error"]
 
 
+def test_streams_of_others():
+    """A section over two packets, a network table as program 0, an announced discontinuity, a counter repeated by other bytes."""
+    names = b"".join(bytes([6]) + (0xE100 + i).to_bytes(2, "big") + b"\xf0\0" for i in range(60))
+    pat = mpegts._section(0, 1, b"\0\0\xe0\x10" + (1).to_bytes(2, "big") + b"\xf0\0")
+    pmt = mpegts._section(2, 1, b"\xe1\0\xf0\0" + names)
+    first = bytes([0x47, 0x50, 0, 0x10, 0]) + pmt[:183]
+    rest = bytes([0x47, 0x10, 0, 0x11]) + pmt[183:]
+    network = mpegts._table_packet(0x10, mpegts._section(2, 0, b"\xe2\0\xf0\0\x06\xe2\0\xf0\0")).tobytes()
+    media = mpegts.write_stream(bytes(3000))
+    own = [media[i : i + 188] for i in range(376, len(media), 188)]
+    got = mpegts.read_stream(mpegts._table_packet(0, pat).tobytes() + network + first + rest.ljust(188, b"\xff") + b"".join(own))
+    assert got["programs"] == [(0, 16), (1, 0x1000)] and got["streams"] == [(0x100 + i, 6) for i in range(60)] and got["payload"] == bytes(3000)
+    tables = media[:376]
+    jump = bytearray(own[5])
+    jump[3] = jump[3] & 0xF0 | 12
+    assert mpegts.read_stream(tables + b"".join([*own[:5], bytes(jump), *own[6:]]))["continuity_errors"] == 2
+    announced = bytes([0x47, 1, 0, 0x30 | 12, 1, 0x80]) + own[5][4:186]
+    assert mpegts.read_stream(tables + b"".join([*own[:5], announced]))["continuity_errors"] == 0
+    other = bytearray(own[4])
+    other[100] ^= 1
+    got = mpegts.read_stream(tables + b"".join([*own[:5], bytes(other), *own[5:]]))
+    assert got["duplicates"] == 0 and got["continuity_errors"] == 1
+    cut = mpegts.read_stream(tables + b"".join(own[:5]))
+    assert cut["error"] == "cut elementary packet" and 0 < len(cut["payload"]) < 3000
+
+
 def test_stream_operator(spark, odd):
+    assert set(mpegts.digests(odd.withColumn("feature", F.lit(1)), keep=("doc_id", "feature")).columns) == set(mpegts.digests(odd).columns)
     got = {r["doc_id"]: r for r in mpegts.digests(odd).collect()}
     for i, t in ODD:
         raw = (t or "").encode()
@@ -378,6 +556,24 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in got} == ids
 
 
+def test_pipeline_odd_rows(spark, sf):
+    """Each stage on nulls, empty and long texts, repeated rows, more columns, and no rows at all."""
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(i, t, "en", "a", 3, "x", 0.5) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long, fp string, score double")
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, sf)
+        none = stage(spark, docs.limit(0), sf)
+        assert none.count() == 0
+        if name == "packing":
+            assert {r["doc_id"] for r in got.collect()} == {i for i, _ in ODD}
+        else:
+            assert got.columns == docs.columns == none.columns
+            rows = got.collect()
+            assert {r["text"] for r in rows} <= {t for _, t in ODD} and rows
+            assert len(rows) == len(ODD) if name in ("toxicity", "line_dedup") else len(rows) <= len(ODD)
+
+
 def test_registered():
     import __spark_entry__ as e
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm import bpe, kneser_ney, labelled, packing, quality, toxicity
 from veilspan.llm import common as C
+from veilspan.llm import toxicity as T
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -100,7 +101,39 @@ def test_pairs_of_a_context_share_its_shard(shards):
     assert all(of_word[int(a)] == of_pair[int(k)] for a, k in zip(v, keys))
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 7, 12, 200])
+def test_kneser_ney_at_any_partition_count(spark, partitions):
+    """Words whose hashes lie next to shards' bounds, as contexts; equal to brute force however many shards there are."""
+    r = random.Random(8)
+    many = [f"v{i}" for i in range(30_000)]
+    raw, off = C.text_bytes(pa.array([" ".join(many)]))
+    h = C.words(raw, off)[0]
+    edges = np.array([(s << 64) // n for n in (3, 7, 12, 200) for s in range(1, n)], np.uint64)
+    order = np.argsort(h)
+    at = np.searchsorted(h[order], edges)
+    near = [many[i] for i in order[np.unique(np.clip(np.concatenate([at - 1, at]), 0, len(h) - 1))]]
+    near += ["v233977", "v1755598", "v326270", "v3394527"]
+    rows = [(i, " ".join(r.choice(near) for _ in range(r.randrange(30)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = kneser_ney.train_and_score(df, C.fold(F.col("doc_id")) != 1, keep=["doc_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = brute_force(rows, lambda i: zlib.crc32(str(i).encode()) % 5 != 1)
+    close([(x["n_tokens"], x["n_known"], x["train_tokens"], x["base_score"], x["score"]) for x in got], want)
+
+
+def test_shards_grow_with_the_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000,)] * 300, "text string")
+    assert C.shards_for(df, ["text"]) == 4 and C.shards_for(df, ["text"], 10_000) >= 30
+    assert C.shards_for(df.rdd.toDF(df.schema), ["text"], 10_000) >= 30
+
+
 def test_kneser_ney_odd_rows(spark, odd):
+    both = kneser_ney.train_and_score(odd, F.lit(True), keep=["doc_id", "score", "n_tokens"])  # these give way to the results
+    assert both.columns == ["doc_id", "n_tokens", "n_known", "base_score", "score", "train_tokens", "perplexity"] and both.count() == len(ODD)
     got = kneser_ney.train_and_score(odd, F.lit(True), keep=["doc_id"]).collect()
     close([(x["n_tokens"], x["n_known"], x["train_tokens"], x["base_score"], x["score"]) for x in got], brute_force(ODD, lambda i: True))
     assert all(x["score"] == 0 for x in kneser_ney.train_and_score(odd, F.lit(False), keep=["doc_id"]).collect())
@@ -158,7 +191,42 @@ def test_bpe_long_text_and_small_cache(codec, library, monkeypatch):
     assert ids[: at[1]].tolist() == library.encode_ordinary(t) == ids[at[3] :].tolist() and at[1] == at[2] == at[3]
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 2048])
+def test_words_that_polynomials_confuse(spark, codec, library, n):
+    a, b = thue_morse(n)
+    h, _ = C.words(*C.text_bytes(pa.array([f"{a} {b}"])))
+    assert h[0] != h[1]
+    ids, at = codec.encode([a, b, a])
+    assert ids[at[1] : at[2]].tolist() == library.encode_ordinary(b) and ids[at[2] :].tolist() == library.encode_ordinary(a)
+    t = packing.Tokenizer(JSON, RANKS)
+    ids, at = t([a, b])
+    assert ids[at[1] :].tolist() == t.own.encode(b, add_special_tokens=False).ids
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_known"], x["train_tokens"]) for x in kneser_ney.train_and_score(df, F.col("doc_id") == 1, keep=["doc_id"]).collect()}
+    assert got == {1: (2, 2), 2: (1, 2)}
+
+
+def test_bpe_with_hashes_that_collide(codec, library, monkeypatch):
+    """Whatever the hash, the ids' bytes are the text's."""
+    own = bpe.Codec(RANKS)
+    monkeypatch.setattr(C, "span_hashes", lambda symbols, starts, ends: (ends - starts).astype(np.uint64))
+    texts = ["one two three four", "six ten", "été à la mer", None, "one two"]
+    ids, at = own.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == library.encode_ordinary(t or "")
+
+
 def test_bpe_operator(spark, odd):
+    clash = odd.withColumn("ids", F.lit(1))
+    assert bpe.encode(clash, RANKS, keep=["doc_id", "ids", "n_tokens"]).columns == ["doc_id", "ids", "n_tokens"]
+    assert bpe.round_trip(odd, RANKS, keep=["doc_id", "n_tokens"]).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     import hashlib
 
     got = bpe.round_trip(odd, RANKS, keep=["doc_id"]).collect()
@@ -209,6 +277,113 @@ def test_quality(spark, odd):
     assert {r["score"] for r in quality.score(odd, quality.train(docs.limit(0), labels), keep=["doc_id"]).collect()} == {0.5}
 
 
+def test_ftrl_is_the_plain_one():
+    """Weights by a loop over rows and features, with the same order of rows."""
+    r = random.Random(2)
+    texts = [" ".join(r.choice("a b c d E F1 .").strip() for _ in range(r.randrange(1, 9))) for _ in range(40)]
+    y = np.array([r.randrange(2) for _ in texts])
+    got = quality.fit(pa.chunked_array([pa.array(texts)]), y)
+    rows = []
+    for t in texts:
+        number, value, _ = quality.features(pa.array([t]))
+        x: dict = defaultdict(float)
+        for j, v in zip(number.tolist(), value.tolist()):
+            x[j] += v
+        x[quality.INTERCEPT] = 1.0
+        rows.append({j: float(np.float32(v)) for j, v in x.items()})
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(j):
+        return 0.0 if abs(z[j]) <= quality.L1 else -(z[j] - math.copysign(quality.L1, z[j])) / ((quality.BETA + math.sqrt(n[j])) / quality.ALPHA + quality.L2)
+
+    shuffle = np.random.default_rng(7)
+    for _ in range(quality.PASSES):
+        for i in shuffle.permutation(len(rows)).tolist():
+            w = {j: weight(j) for j in rows[i]}
+            p = 1 / (1 + math.exp(-sum(w[j] * v for j, v in rows[i].items())))
+            for j, v in rows[i].items():
+                g = (p - y[i]) * v
+                z[j] += g - (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / quality.ALPHA * w[j]
+                n[j] += g * g
+    assert np.allclose(got[list(z)], [weight(j) for j in z], atol=1e-4) and np.count_nonzero(got) == sum(weight(j) != 0 for j in z)
+
+
+PARTS = ["you", "are", "a", "total", "idiot", "piece", "of", "shit", "not", "said", "will", "kill", "stupid", "the", "dog", ".", "to", "go", "hell"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=14), min_size=1, max_size=3))
+def test_grammar_is_the_plain_one(texts):
+    """Tags and readings by loops over words and clauses."""
+    known, longest = {}, {}
+    lists = ((T.REPORT, T.REPORTS), (T.NEGATION, T.NEGATIONS), (T.TARGET, T.TARGETS), (T.INTENT, T.INTENTS), (T.STRONG, T.STRONG_WORDS), (T.THREAT, T.THREATS), (T.INSULT, T.INSULTS))
+    for tag, own in lists:
+        known.update(dict.fromkeys(own, tag))
+    for tag, own in ((T.INSULT, T.INSULT_PHRASES), (T.THREAT, T.THREAT_PHRASES)):
+        longest.update({tuple(x.split()): tag for x in own})
+    g = T.fit(pa.chunked_array([pa.array([], pa.string())]), np.zeros(0, np.int64))
+    got = T.clause_features(T.split(pa.array([" ".join(t) for t in texts])), *T._arrays(g), T.machine())
+    for i, t in enumerate(texts):
+        clauses, want = [[]], np.zeros(len(T.READINGS))
+        for x in t:
+            clauses.append([]) if x == "." else clauses[-1].append(x)
+        for c in clauses:
+            tags = [known.get(x, T.WORD) for x in c]
+            for size in range(2, T.LONGEST + 1):
+                for k in range(size, len(c) + 1):
+                    tags[k - 1] = longest.get(tuple(c[k - size : k]), tags[k - 1])
+            if not {T.INSULT, T.THREAT} & set(tags):
+                continue
+            score = 0.0
+            for k, tag in enumerate(tags):
+                if tag not in (T.INSULT, T.THREAT):
+                    continue
+                before = lambda kinds, reach: any(x in kinds for x in tags[max(0, k - reach) : k])  # noqa: B023, E731
+                strong, meant = tag == T.INSULT and before((T.STRONG, T.INSULT), 2), tag == T.THREAT and before((T.INTENT,), 3)
+                neg, rep, aim = before((T.NEGATION,), 3), before((T.REPORT,), len(tags)), before((T.TARGET,), 3)
+                want[neg * 4 + rep * 2 + aim + (8 if tag == T.THREAT else 0)] += 1
+                want[16] += strong
+                want[17] += meant
+                score += math.exp(0.5 * strong + (1.0 if meant else -1.0) * (tag == T.THREAT) - 1.5 * neg - 0.7 * rep + 0.7 * aim)
+            want[18] = max(want[18], score)
+        want[:18] = np.sqrt(want[:18])
+        assert np.allclose(got[i], want), (t, got[i], want)
+
+
+def test_entries_of_two_words_are_learnt():
+    r = random.Random(4)
+    texts, y = [], []
+    for i in range(400):
+        words = [r.choice("grey moon river stone walks on by the far old sea".split()) for _ in range(40)]
+        bad = i % 4 == 0
+        words[10:12] = ["blue", "lamp"] if bad else [("blue", "red")[i % 2], ("cup", "lamp")[i % 2]] if i % 4 != 3 else ["lamp", "blue"]
+        texts.append(" ".join(words))
+        y.append(int(bad))
+    g = T.fit(pa.chunked_array([pa.array(texts)]), np.array(y))
+    assert g.tags[g.hashes.index(T.word_key("blue lamp"))] == T.INSULT
+    p = T.clause_features(T.split(pa.array(["the blue lamp", "a lamp. blue", "blue. lamp", "the red lamp"])), *T._arrays(g), T.machine())
+    assert p[0, -1] > 0 and not p[1:].any()
+
+
+def test_classifiers_on_odd_rows(spark, odd):
+    """Scores as the docstrings define them: by the intercept for empty texts, equal for equal texts, whole long texts."""
+    docs, labels = labelled_rows(spark)
+    for op, label in ((quality, "quality"), (toxicity, "toxic")):
+        model = op.train(docs, labels, label)
+        clash = odd.withColumn("score", F.lit("x"))
+        got = op.score(clash, model, keep=["doc_id", "text", "score"]).collect()
+        by = defaultdict(set)
+        for r in got:
+            by[r["text"] or ""].add(r["score"])
+        assert got[0].asDict().keys() == {"doc_id", "text", "score"} and all(len(v) == 1 for v in by.values())
+        assert by[""] == by["     "] and all(0 < s < 1 for v in by.values() for s in v)
+        long = "fine calm words walk on " * 40_000
+        ends = spark.createDataFrame([(1, long), (2, long + "you idiot moron"), (3, long + "IDIOT!! " * 40_000)], "doc_id long, text string")
+        s = {r["doc_id"]: r["score"] for r in op.score(ends, model, keep=["doc_id"]).collect()}
+        assert s[2] != s[1] and s[3] != s[2]  # the ends of long texts count
+        assert op.score(odd.limit(0), model, keep=["doc_id"]).count() == 0
+
+
 def test_toxicity(spark, odd):
     docs, labels = labelled_rows(spark)
     model = toxicity.train(docs, labels)
@@ -238,4 +413,8 @@ def test_sample(spark):
     s = labelled.labelled_sample(docs, both, "quality", 50)
     assert s.count() == 50 and 0 not in {r["doc_id"] for r in s.withColumn("doc_id", F.lit(1)).collect()}
     assert labelled.labelled_sample(docs, labels.limit(0), "quality", 50).count() == 0
+    hot = docs.union(docs.where("doc_id = 7").crossJoin(spark.range(5000)).select("doc_id", F.concat("text", F.lit(" "), "id")))
+    assert labelled.labelled_sample(hot, labels.where("doc_id = 7"), "quality", 16).count() == 16
+    seen = labelled.learn(s, lambda texts, y: iter([pa.RecordBatch.from_arrays([pa.array([len(y)])], ["n"])]), "n long", 1000)[0]["n"]
+    assert 1 <= seen < 20  # of 50 rows: as many texts as 1000 bytes hold
     assert np.isfinite(toxicity.newton(np.ones((4, 1)), np.array([0.0, 1, 1, 1]))).all()
