@@ -43,14 +43,25 @@ FLUSH = 3_000_000
 # ---------------------------------------------------------------- units
 
 
+def _rolling(x: np.ndarray, of) -> np.ndarray:
+    """``of`` all of WINDOW neighbours, from each on."""
+    size = 1
+    while 2 * size <= WINDOW:
+        x, size = of(x[:-size], x[size:]), 2 * size
+    more = WINDOW - size
+    return of(x[:-more], x[more:]) if more else x
+
+
 def _named(h: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Which words begin a unit by their hashes alone; ``line``: the number of each word's line or sentence."""
     out = np.zeros(len(h), bool)
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
     if len(h) >= WINDOW:
-        least = np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
-        out[least[line[WINDOW - 1 :] == line[: 1 - WINDOW]]] = True
+        # The smallest of each window that stands in one line; a word is named if it is that of any window it stands in.
+        inside = np.where(line[WINDOW - 1 :] == line[: 1 - WINDOW], _rolling(h, np.minimum), U64(0))
+        edge = np.zeros(WINDOW - 1, U64)
+        out = _rolling(np.concatenate([edge, inside, edge]), np.maximum) == h
         out &= ~same
     at = np.arange(len(h))
     since = at - np.maximum.accumulate(np.where(same, 0, at))
@@ -242,11 +253,32 @@ def _owned(h: np.ndarray, ids: np.ndarray, more: np.ndarray) -> tuple[np.ndarray
     return h[first], lo, (lo < np.maximum.reduceat(ids, first)) | np.logical_or.reduceat(more, first)
 
 
+def _blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary for each text: its part of the values."""
+    size = values.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * size).astype("<i8").tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
+
+
+def _arrays(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' unit hashes and words in a row, and where each text's begin."""
+    raw, off = C.text_bytes(b["h"])
+    return np.ascontiguousarray(raw).view(U64), np.ascontiguousarray(C.text_bytes(b["words"])[0]).view("<u4").astype(np.int64), off // 8
+
+
 def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, t (the text's hash) and gone (sorted positions of units to delete) of the documents that lose any."""
     spark = docs.sparkSession
+    C.short_batches(docs.sparkSession)
     shards, folder = C.shards_for(docs, [text]), C.new_folder(spark, "line-owners")
-    docs = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+
+    def cut(batches):
+        for b in C.slices(batches, "text"):
+            h, words, _, _, at = units(*C.text_bytes(b["text"]))
+            yield pa.RecordBatch.from_arrays([b["id"], b["t"], _blobs(h, at), _blobs(words.astype("<u4"), at)], ["id", "t", "h", "words"])
+
+    # Written, so that texts are cut once; what follows works on hashes.
+    made = C.written(docs.mapInArrow(cut, "id long, t long, h binary, words binary"), "line-units")
 
     def collect(batches):
         have = []
@@ -265,8 +297,8 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_wo
                 values = np.array([least], "<i8").tobytes() + np.packbits(more[part]).tobytes() + ids.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([h[part].tobytes()], pa.binary()), pa.array([values], pa.binary()), pa.array([n], pa.int64())], ["shard", "keys", "values", "n"])
 
-        for b in C.slices(batches, "text"):
-            u, words, _, _, at = units(*C.text_bytes(b["text"]))
+        for b in C.slices(batches, "h", 1 << 20):
+            u, words, at = _arrays(b)
             h, at = runs(u, words, at, block_words)
             if len(h):
                 have.append((h, np.repeat(b["id"].to_numpy(), np.diff(at)), np.zeros(len(h), bool)))
@@ -293,30 +325,27 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_wo
         C.put_columns(folder, f"run-{s:06d}", [h[shared], lo[shared], np.ones(int(shared.sum()), np.uint8)])
         return pa.table({"shard": pa.array([s], pa.int32()), "shared": pa.array([int(shared.sum())], pa.int64())})
 
-    done = docs.mapInArrow(collect, "shard int, keys binary, values binary, n long").groupBy("shard").applyInArrow(merge, "shard int, shared long").collect()
+    done = made.select("id", "h", "words").mapInArrow(collect, "shard int, keys binary, values binary, n long").groupBy("shard").applyInArrow(merge, "shard int, shared long").collect()
     for s in set(range(shards)) - {r["shard"] for r in done}:
         C.put_columns(folder, f"run-{s:06d}", [np.zeros(0, U64)] * 3)
 
     def look_up(batches):
         table = C.ShardedArrays(folder, "run", shards, ["<u8", "<i8", "u1"])
-        for b in C.slices(batches, "text"):
-            h, words, _, _, at = units(*C.text_bytes(b["text"]))
-            r, first = runs(h, words, at, block_words)
-            u, back = np.unique(r, return_inverse=True)
-            owner, shared = (x[back] for x in table.find(u))
-            ids, ts = b["id"].to_numpy(), b["t"].to_numpy()
-            rows = []
-            for i in range(len(ids)):
+        for b in C.slices(batches, "h", 1 << 20):
+            u, words, at = _arrays(b)
+            r, first = runs(u, words, at, block_words)
+            distinct, back = np.unique(r, return_inverse=True)
+            owner, shared = (x[back] for x in table.find(distinct))
+            ids, rows, later = b["id"].to_numpy(), [], []
+            for i in np.unique(np.searchsorted(first, np.flatnonzero(shared), "right") - 1).tolist():
                 part = slice(first[i], first[i + 1])
                 own = np.unique(owner[part][shared[part] > 0])
-                later = own[own < ids[i]]
-                if len(later) or ids[i] in own:
-                    part = slice(at[i], at[i + 1])
-                    rows.append((int(ids[i]), int(ts[i]), h[part].tobytes(), words[part].astype("<u4").tobytes(), later.tolist()))
+                rows.append(i)
+                later.append(own[own < ids[i]].tolist())
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["id", "t", "h", "words", "owners"])
+                yield pa.RecordBatch.from_arrays([*(b[c].take(pa.array(rows)) for c in ("id", "t", "h", "words")), pa.array(later, pa.list_(pa.int64()))], ["id", "t", "h", "words", "owners"])
 
-    held = C.written(docs.select("id", F.xxhash64("text").alias("t"), "text").mapInArrow(look_up, "id long, t long, h binary, words binary, owners array<long>"), "line-units")
+    held = C.written(made.mapInArrow(look_up, "id long, t long, h binary, words binary, owners array<long>"), "line-sharers")
     # Written, so that nothing but the join asks for rows by owner and a hot owner's pairs can be split.
     owners = C.written(held.groupBy("id").agg(F.max("h").alias("other")), "line-owned")
     pairs = held.where(F.size("owners") > 0).select(F.col("id").alias("later"), "t", "h", "words", F.explode("owners").alias("id")).join(owners, "id")
@@ -349,18 +378,22 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words:
     rows = docs.select(*names).join(gone, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__t")), "left").select(*names, "__gone")
 
     def delete(batches):
-        for b in batches:
+        for b in C.slices(batches, text):
             texts, n_units, n_words = b[text], np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             lists = b["__gone"]
             hit = np.flatnonzero(~np.asarray(lists.is_null()))
             if len(hit):
-                new = texts.to_pylist()
-                for i in hit.tolist():
-                    raw, lost = new[i].encode("utf-8", "surrogatepass"), lists[i].as_py()
-                    _, words, s, e, _ = units(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-                    new[i] = without(raw, s.tolist(), e.tolist(), lost).decode("utf-8", "surrogatepass")
-                    n_units[i], n_words[i] = len(lost), int(words[lost].sum())
-                texts = pa.array(new, texts.type)
+                own = texts.take(pa.array(hit))
+                raw, off = C.text_bytes(own)
+                _, words, s, e, at = units(raw, off)
+                new = []
+                for k, i in enumerate(hit.tolist()):
+                    lost, part = lists[i].as_py(), slice(at[k], at[k + 1])
+                    n_units[i], n_words[i] = len(lost), int(words[part][lost].sum())
+                    new.append(without(raw[off[k] : off[k + 1]].tobytes(), (s[part] - off[k]).tolist(), (e[part] - off[k]).tolist(), lost).decode("utf-8", "surrogatepass"))
+                place = np.arange(b.num_rows)
+                place[hit] = b.num_rows + np.arange(len(hit))
+                texts = pa.concat_arrays([texts, pa.array(new, texts.type)]).take(pa.array(place))
             yield pa.RecordBatch.from_arrays([*(texts if c == text else b[c] for c in names), pa.array(n_units), pa.array(n_words)], [*names, "removed_units", "removed_words"])
 
     return rows.mapInArrow(delete, C.typed(docs, names, "removed_units long, removed_words long"))
