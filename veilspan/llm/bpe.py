@@ -191,14 +191,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[x] for x in parts if x is not None]
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A vocabulary file's byte strings and their ranks."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
 class Codec:
     """A vocabulary with its perfect hash, and the ids of pre-tokens met lately."""
 
     def __init__(self, path: str, piece=None):
         """``piece``: another encoder of single pre-tokens, in place of the two tiers."""
-        with open(path, "rb") as f:
-            pairs = [line.split() for line in f if line.strip()]
-        self.ranks = {base64.b64decode(a): int(b) for a, b in pairs}
+        self.ranks = read_ranks(path)
         self.whole = PerfectHash(list(self.ranks) if piece is None else [])
         if piece is not None:
             self.piece = piece

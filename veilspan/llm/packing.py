@@ -28,8 +28,9 @@ _TOKENIZERS: dict[str, object] = {}
 
 
 class Tokenizer:
-    """Ids as the tokenizer file gives them, without special tokens added. Given the same vocabulary as ranks, texts are
-    encoded by these (``bpe``); a text that names an added token goes through the file's own tokenizer."""
+    """Ids as the tokenizer file gives them, without special tokens added. Given the same vocabulary as ranks, distinct
+    pre-tokens are encoded by these, and texts gathered from them as in ``bpe``; a text that names an added token goes through
+    the file's own tokenizer."""
 
     def __init__(self, path: str, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,7 +40,7 @@ class Tokenizer:
         self.size = self.own.get_vocab_size()
         self.added = [x.content for x in self.own.get_added_tokens_decoder().values()]
         self.kind = np.uint16 if self.size <= 1 << 16 else np.uint32
-        self.fast = bpe.codec(ranks) if ranks else None
+        self.fast = bpe.Codec(ranks, _by_ranks(ranks)) if ranks else None
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's begin. ``texts`` isn't empty."""
@@ -53,6 +54,15 @@ class Tokenizer:
         return ids.astype(self.kind), at.astype(np.int64)
 
 
+def _by_ranks(path: str):
+    """Ids of single pre-tokens, by the library of the ranks' format."""
+    import public_tokenizers
+    import tiktoken
+
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    return lambda raw: encoding.encode_ordinary(raw.decode("utf-8", "surrogatepass"))
+
+
 _PASS_ONE = ["__part", "__local", "doc_tokens", "ids"]
 _PIECES = ["start", "length", "ids", "doc_tokens", "sequence_id", "offset", "boundary"]
 
@@ -66,6 +76,7 @@ def tokenizer(path: str, ranks: str | None = None) -> Tokenizer:
 def tokenised(docs: DataFrame, path: str, ranks: str | None, end: int, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Pass one, written: columns ``keep``, __part, __local (tokens before it in its partition), doc_tokens, ids (binary)."""
     keep = C.kept(keep, _PASS_ONE)
+    C.short_batches(docs.sparkSession)
     own = C.free_name([*keep, *_PASS_ONE], "__text")
 
     def run(batches):
