@@ -11,7 +11,7 @@ from veilspan.llm import common as C
 #: UTF-8 bytes of the texts that are learnt from, at most; the first text is always.
 BOUND_BYTES = 64 << 20
 #: Labelled ids that are looked for among the documents, as a multiple of those wanted.
-AHEAD = 8
+AHEAD = 2
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id", text: str = "text", held_out: int = 0) -> DataFrame:
