@@ -334,6 +334,13 @@ def kept(keep: list[str] | tuple[str, ...] | None, results: list[str]) -> list[s
     return [k for k in keep or [] if k.lower() not in own]
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Have Arrow batches of fewer rows than usual, since rows hold whole texts; a session that names a number keeps it."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting, "") == "":
+        spark.conf.set(setting, "1024")
+
+
 def with_text(df: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
     """The columns to keep and the text, which is not sent twice, and the text's name among them."""
     same = next((k for k in keep if k == text), None)
