@@ -337,7 +337,7 @@ def kept(keep: list[str] | tuple[str, ...] | None, results: list[str]) -> list[s
 def short_batches(spark: SparkSession) -> None:
     """Have Arrow batches of fewer rows than usual, since rows hold whole texts; a session that names a number keeps it."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting, "") == "":
+    if spark.conf.get(setting, None) is None:
         spark.conf.set(setting, "1024")
 
 
