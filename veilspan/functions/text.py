@@ -78,3 +78,10 @@ def to_utf16(text: Column, offset: Column) -> Column:
     """A code point offset as one of UTF-16 code units: characters outside the basic plane before it count twice."""
     before = F.substr(text, F.lit(1), offset.cast("int"))
     return offset + F.length(before) - F.length(F.regexp_replace(before, r"[\x{10000}-\x{10FFFF}]", ""))
+
+
+def offsets(pieces: Column, gap: int = 0, size=F.length) -> Column:
+    """array<int>: where each piece begins when they stand in a row, ``gap`` characters apart, and where the last one ends. One
+    pass carries the offset along."""
+    zero = F.array(F.lit(0)).cast("array<int>")
+    return F.aggregate(pieces, zero, lambda at, x: F.concat(at, F.array((F.element_at(at, -1) + size(x) + F.lit(gap)).cast("int"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.operators.spans import merge_same_label, overlap
+from veilspan.operators.spans import overlap
 
 
 def pairs(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataFrame:
@@ -25,13 +25,29 @@ def pairs(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataFra
 
 
 def counts(gold: DataFrame, predicted: DataFrame, exact: bool = False) -> DataFrame:
-    """(doc_id, label, true_positive, false_positive, false_negative) of each document and label that has any."""
-    merged = merge_same_label(predicted)
-    hit = pairs(gold, merged, exact).groupBy("doc_id", "label").agg(F.count("*").alias("true_positive"))
-    want = gold.groupBy("doc_id", "label").agg(F.count("*").alias("want"))
-    got = merged.groupBy("doc_id", "label").agg(F.count("*").alias("got"))
-    every = want.join(got, ["doc_id", "label"], "full").join(hit, ["doc_id", "label"], "left").fillna(0, ["want", "got", "true_positive"])
-    return every.select("doc_id", "label", "true_positive", (F.col("got") - F.col("true_positive")).alias("false_positive"), (F.col("want") - F.col("true_positive")).alias("false_negative"))
+    """(doc_id, label, true_positive, false_positive, false_negative) of each document and label that has any. Both sides meet
+    in one exchange; what merges, pairs and counts them works on the arrays of a document and label."""
+    side = lambda df, n: df.select("doc_id", "label", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(n).alias("side"))
+    own = lambda n: F.array_sort(F.collect_list(F.when(F.col("side") == n, F.struct("start", "end"))))
+    rows = side(gold, 0).unionByName(side(predicted, 1)).groupBy("doc_id", "label").agg(own(0).alias("g"), own(1).alias("p"))
+
+    def merged(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(acc) > 0) & (x["start"] < F.try_element_at(acc, F.lit(-1))["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(acc, F.array(x)))
+
+    rows = rows.withColumn("p", F.aggregate("p", F.filter("p", lambda x: F.lit(False)), merged))
+
+    def met(g: Column, p: Column) -> Column:
+        return (g["start"] == p["start"]) & (g["end"] == p["end"]) if exact else overlap(g["start"], g["end"], p["start"], p["end"]) > 0
+
+    item = lambda g, p: F.struct((-overlap(g["start"], g["end"], p["start"], p["end"])).alias("rank"), g.alias("g"), p.alias("p"))
+    every = F.array_sort(F.flatten(F.transform("g", lambda g: F.transform(F.filter("p", lambda p: met(g, p)), lambda p: item(g, p)))))
+    rows = rows.withColumn("__all", every)
+    clash = lambda x, y: (x["g"] == y["g"]) | (x["p"] == y["p"])
+    taken = F.aggregate("__all", F.filter("__all", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: clash(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    rows = rows.withColumn("true_positive", F.size(taken).cast("long"))
+    return rows.select("doc_id", "label", "true_positive", (F.size("p") - F.col("true_positive")).alias("false_positive"), (F.size("g") - F.col("true_positive")).alias("false_negative"))
 
 
 def ratio(part: Column, whole: Column) -> Column:

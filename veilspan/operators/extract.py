@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import patterns as P
+from veilspan.functions import text as X
 
 SPANS = "start int, end int, label string, score double"
 _SOH = "\x01"
@@ -94,9 +95,8 @@ def pieces(text: Column, p: P.Pattern) -> Column:
 def located(cut: Column) -> Column:
     """array<struct<start, end, value>> of the matches among a text's pieces. ``cut`` should be a column of its own, so that the
     text is searched once."""
-    before = F.transform(cut, lambda x, i: F.aggregate(F.slice(cut, 1, i), F.lit(0), lambda n, y: n + F.length(y)))
-    every = F.zip_with(cut, before, lambda x, at: F.struct(at.alias("start"), (at + F.length(x)).alias("end"), x.alias("value")))
-    return F.filter(every, lambda s, i: i % 2 == 1)
+    every = F.zip_with(cut, X.offsets(cut), lambda x, at: F.struct(at.alias("start"), (at + F.length(x)).alias("end"), x.alias("value")))
+    return F.filter(every, lambda s, i: (i % 2 == 1) & s["value"].isNotNull())
 
 
 def _around_value(rx: str) -> tuple[str, tuple[str, str]]:

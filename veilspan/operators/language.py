@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.dimensions import LANGUAGES, MIN_CONFIDENCE, MIN_HITS, OCR_DATA, stopword_table
+from veilspan.functions.dimensions import LANGUAGES, MIN_CONFIDENCE, MIN_HITS, OCR_DATA, STOPWORDS
 from veilspan.functions.text import plain
 
 
@@ -14,11 +14,11 @@ def tokens_of(text: Column) -> Column:
 
 
 def votes(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keep, hits_en, hits_es, hits_pt) of every row, by word counts summed before they are joined with the table."""
-    words = df.select(*keep, F.explode(tokens_of(F.col(text))).alias("token"))
-    table = F.broadcast(stopword_table(df.sparkSession))  # 75 words
-    hits = words.join(table, "token").groupBy(*keep).agg(*(F.count_if(F.col("language") == x).alias(f"hits_{x}") for x in LANGUAGES))
-    return df.select(*keep).distinct().join(hits, list(keep), "left").fillna(0, [f"hits_{x}" for x in LANGUAGES])
+    """(keep, hits_en, hits_es, hits_pt) of every row: how many of its tokens are a language's stopwords. A projection, no
+    shuffle; a null text has no hits."""
+    rows = df.select(*keep, tokens_of(F.col(text)).alias("__tokens"))
+    hits = lambda own: F.coalesce(F.size(F.filter("__tokens", lambda t: t.isin(*own))), F.lit(0)).cast("long")
+    return rows.select(*keep, *(hits(STOPWORDS[x].split()).alias(f"hits_{x}") for x in LANGUAGES))
 
 
 def winner(hits: dict[str, Column]) -> Column:

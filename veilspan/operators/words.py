@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.text import offsets
+
 #: A word with inner hyphens or underscores, or any other character that isn't white space. Fixed value.
 WORD = r"[\p{L}\p{N}_]+(?:[\-_][\p{L}\p{N}_]+)*|[^" + "\\s\\x{0B}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}" + "]"
 #: Two runs of capitals, close together, make a line a shouted one. Fixed values.
@@ -112,6 +114,7 @@ def shouted_words(text: str, base: int = 0) -> list[tuple[int, int, str, int]]:
 def lines(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows (keep, line_no, at, line): the text's lines and where they begin."""
     every = F.split(text, "\n", -1)
-    starts = F.transform(every, lambda x, i: F.aggregate(F.slice(every, 1, i), F.lit(0), lambda n, y: n + F.length(y) + 1))
-    rows = df.select(*keep, F.explode(F.arrays_zip(every.alias("line"), starts.alias("at"), F.sequence(F.lit(0), F.size(every) - 1).alias("line_no"))).alias("l"))
+    cut = df.select(*keep, every.alias("__lines")).where(F.col("__lines").isNotNull())
+    starts = F.slice(offsets(F.col("__lines"), 1), F.lit(1), F.size("__lines"))
+    rows = cut.select(*keep, F.explode(F.arrays_zip(F.col("__lines").alias("line"), starts.alias("at"), F.sequence(F.lit(0), F.size("__lines") - 1).alias("line_no"))).alias("l"))
     return rows.select(*keep, "l.line_no", "l.at", "l.line")

@@ -19,14 +19,12 @@ from veilspan.operators.mask import mask_texts
 from veilspan.operators.verify import leaks, verified
 from veilspan.plans import redact as R
 from veilspan.plans import sql as Q
-from veilspan.sources import archive, corpus, formats
+from veilspan.sources import archive, corpus, formats, models
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 ALL = [p.id for p in patterns.PATTERNS]
-#: Patterns that find something in the test tables' texts.
-FOUND = ["email", "card", "phone_a", "phone_b"]
 
 
 def query(sql: str | None = None):
@@ -109,7 +107,7 @@ def q08_eval_merge(spark, d):
 
 # ---------------------------------------------------------------- masking and counts
 
-_DOC_SPANS = Q.absorbed(Q.matches("documents", "doc_id", "text", FOUND), "doc_id")
+_DOC_SPANS = Q.absorbed(Q.matches("documents", "doc_id", "text", ALL), "doc_id")
 _DOC_RANGES = Q.islands(f"({_DOC_SPANS})", "doc_id", True)
 _MASKED = Q.masked("SELECT doc_id, text FROM documents", _DOC_RANGES)
 
@@ -137,10 +135,43 @@ def q11_repeat_tokens(spark, d):
     return A.tokens(spans_by(readings, find_patterns, keep=A.READING, value=True), readings)
 
 
-@query()
+_REPEATS = f"""SELECT doc_id, CAST(0 AS BIGINT) AS unit_no, CAST(0 AS BIGINT) AS reading_no, start, start + length(value) AS "end", label, score, value FROM (
+  SELECT doc_id, label, score, p[i] AS value, CAST(coalesce(list_sum(list_transform(p[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start, p[i - 1][-1:] AS before, p[i + 1][1:1] AS after FROM (
+    SELECT *, unnest(range(2, len(p) + 1, 2)) AS i FROM (SELECT k.doc_id, label, score, string_split(regexp_replace(text, '(?i)' || regexp_replace(regexp_escape(token), '\\\\? ', '\\\\s+', 'g'), chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS p FROM ({_TOKENS}) k JOIN documents USING (doc_id))))
+  WHERE NOT regexp_matches(before, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(after, '[\\p{{L}}\\p{{N}}]')"""
+
+
+@query(_REPEATS)
 def q12_repeat_spans(spark, d):
     readings = A.as_readings(_docs(spark, d))
-    return A.repeats(A.tokens(spans_by(readings, find_patterns, keep=A.READING, value=True), readings), readings)
+    return _longs(A.repeats(A.tokens(spans_by(readings, find_patterns, keep=A.READING, value=True), readings), readings))
+
+
+_BY_READING = "SELECT doc_id, CAST(r AS BIGINT) AS reading_no, CASE r WHEN 0 THEN text WHEN 1 THEN text || ' ' || text ELSE 'x' END AS text FROM documents, (VALUES (0), (1), (2)) AS v(r)"
+_SHOWN = f"""SELECT i.doc_id, i.reading_no, lower(regexp_replace(substr(t.text, i.start + 1, i."end" - i.start), '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS key FROM ({Q.islands('(' + Q.matches(f"({_BY_READING})", "doc_id, reading_no", "text", ALL) + ')', "doc_id, reading_no", True)}) i JOIN ({_BY_READING}) t USING (doc_id, reading_no)"""
+
+
+def _scans(spark, d) -> DataFrame:
+    """Each document as a scanned unit of three readings: as it is, twice, and next to nothing."""
+    text = F.when(F.col("r") == 0, F.col("text")).when(F.col("r") == 1, F.concat("text", F.lit(" "), "text")).otherwise(F.lit("x"))
+    rows = _docs(spark, d).withColumn("r", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return rows.select("doc_id", F.lit(0).alias("unit_no"), F.col("r").alias("reading_no"), F.lit(True).alias("is_scan"), F.lit(1).alias("page"), text.alias("text"))
+
+
+@query(f"SELECT doc_id, CAST(sum(n) AS BIGINT) AS redaction_count FROM (SELECT doc_id, key, max(n) AS n FROM (SELECT doc_id, reading_no, key, count(*) AS n FROM ({_SHOWN}) GROUP BY ALL) GROUP BY ALL) GROUP BY doc_id")
+def q10b_scan_redaction_count(spark, d):
+    """Of a scanned unit's readings a value counts as often as in the one that shows it most."""
+    readings = _scans(spark, d)
+    marks = A.marks(spans_by(readings, find_patterns, keep=A.READING, value=True), readings)
+    return A.redaction_counts(marks, readings)
+
+
+@query(f"""SELECT doc_id, '1:' || label || ':' || lower(regexp_replace(value, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS detection_id, count(DISTINCT (reading_no, start, "end", value)) AS places FROM ({Q.matches(f"({_BY_READING})", "doc_id, reading_no", "text", ALL)}) GROUP BY ALL""")
+def q11b_scan_value_identity(spark, d):
+    """A value of a scan is one decision, whichever reading shows it; a place is marked once for it."""
+    readings = _scans(spark, d)
+    marks = A.marks(spans_by(readings, find_patterns, keep=A.READING, value=True), readings)
+    return marks.groupBy("doc_id", "detection_id").agg(F.count("*").alias("places"))
 
 
 # ---------------------------------------------------------------- words
@@ -173,11 +204,15 @@ def q15_shouted_lines(spark, d):
     return _longs(words.lines(_docs(spark, d)).where(words.is_shouted(F.col("line"))))
 
 
-@query()
+_CAPITALS = "(\\p{Lu}{2,}(?:['’]\\p{Lu}+)?)"
+_CALM = f"array_to_string(list_transform(string_split(regexp_replace(line, {Q.quoted(_CAPITALS)}, chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda x, i: CASE WHEN i % 2 = 0 THEN x[1:1] || lower(x[2:]) ELSE x END), '')"
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, line, {_CALM} AS calm FROM (SELECT doc_id, i, l[i] AS line FROM ({_LINES})) WHERE regexp_matches(line, {Q.quoted(words.SHOUTED)})")
 def q16_titlecase_shouted(spark, d):
     rows = words.lines(_docs(spark, d)).where(words.is_shouted(F.col("line")))
     calm = F.pandas_udf(lambda s: s.map(words.title_cased), "string")
-    return rows.select("doc_id", "line_no", "line", calm("line").alias("calm"))
+    return _longs(rows.select("doc_id", "line_no", "line", calm("line").alias("calm")))
 
 
 # ---------------------------------------------------------------- language
@@ -251,9 +286,15 @@ def _detected(spark, d):
     return readings, marks, A.detections(marks)
 
 
-@query(f"SELECT doc_id, detection_id, label, score, preview, 'certain' AS bucket, row_number() OVER (PARTITION BY doc_id, label ORDER BY score, start, \"end\", detection_id) AS place FROM ({_DETECTED})")
+_UNSURE = f"SELECT * REPLACE (CASE WHEN start % 3 = 0 THEN CAST(0.4 AS DOUBLE) WHEN start % 3 = 1 THEN CAST({APPLY_SCORE} AS DOUBLE) ELSE score END AS score) FROM ({_DETECTED})"
+
+
+@query(f"SELECT doc_id, detection_id, label, score, preview, CASE WHEN score >= {APPLY_SCORE} THEN 'certain' ELSE 'suggestion' END AS bucket, row_number() OVER (PARTITION BY doc_id, label ORDER BY score, start, \"end\", detection_id) AS place FROM ({_UNSURE})")
 def q23_review_list(spark, d):
-    return _longs(A.review_list(_detected(spark, d)[2]).select("doc_id", "detection_id", "label", "score", "preview", "bucket", "place"))
+    """Scores below the floor, at it and above it."""
+    third = F.col("start") % 3
+    unsure = _detected(spark, d)[2].withColumn("score", F.when(third == 0, 0.4).when(third == 1, APPLY_SCORE).otherwise(F.col("score")))
+    return _longs(A.review_list(unsure).select("doc_id", "detection_id", "label", "score", "preview", "bucket", "place"))
 
 
 @query(f'SELECT doc_id, detection_id, start, "end", label FROM ({_DETECTED}) WHERE score >= {APPLY_SCORE} AND label <> \'private_phone\'')
@@ -287,7 +328,18 @@ def q26_pair_counts(spark, d):
     return evaluate.by_label(evaluate.counts(gold, shifted)).select("label", "true_positive", "false_positive", "false_negative")
 
 
-@query()
+_MATCHED = f"""WITH RECURSIVE gold AS (SELECT DISTINCT doc_id, label, start, "end" FROM ({_SPANS}) WHERE score > 0.3), pred AS (SELECT * FROM ({Q.islands(_SPANS, "doc_id, label", False)})),
+  c AS (SELECT g.doc_id, g.label, g.start AS gs, g."end" AS ge, p.start AS ps, p."end" AS pe, row_number() OVER (PARTITION BY g.doc_id, g.label ORDER BY least(g."end", p."end") - greatest(g.start, p.start) DESC, g.start, g."end", p.start, p."end") AS n FROM gold g JOIN pred p ON g.doc_id = p.doc_id AND g.label = p.label AND least(g."end", p."end") > greatest(g.start, p.start)),
+  pick AS (SELECT doc_id, label, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(gs BIGINT, ge BIGINT, ps BIGINT, pe BIGINT)[]) AS kept FROM (SELECT DISTINCT doc_id, label FROM c) UNION ALL
+    SELECT k.doc_id, k.label, c.n, CASE WHEN len(list_filter(k.kept, lambda x: (x.gs = c.gs AND x.ge = c.ge) OR (x.ps = c.ps AND x.pe = c.pe))) > 0 THEN k.kept ELSE list_append(k.kept, {{'gs': c.gs, 'ge': c.ge, 'ps': c.ps, 'pe': c.pe}}) END FROM pick k JOIN c ON c.doc_id = k.doc_id AND c.label = k.label AND c.n = k.n + 1),
+  tp AS (SELECT label, sum(n) AS n FROM (SELECT doc_id, label, max(len(kept)) AS n FROM pick GROUP BY ALL) GROUP BY label),
+  each AS (SELECT label, coalesce((SELECT n FROM tp WHERE tp.label = l.label), 0) AS tp, (SELECT count(*) FROM pred p WHERE p.label = l.label) AS np, (SELECT count(*) FROM gold g WHERE g.label = l.label) AS ng FROM (SELECT label FROM gold UNION SELECT label FROM pred) l),
+  every AS (SELECT * FROM each UNION ALL SELECT 'TOTAL', sum(tp), sum(np), sum(ng) FROM each),
+  r AS (SELECT label, CAST(tp AS BIGINT) AS true_positive, CAST(np - tp AS BIGINT) AS false_positive, CAST(ng - tp AS BIGINT) AS false_negative, CASE WHEN np = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / CAST(np AS DOUBLE) END AS precision, CASE WHEN ng = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / CAST(ng AS DOUBLE) END AS recall FROM every)
+  SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM r"""
+
+
+@query(_MATCHED)
 def q26b_precision_recall(spark, d):
     gold = _line_spans(spark, d).where("score > 0.3").select("doc_id", "start", "end", "label").distinct()
     return evaluate.by_label(evaluate.counts(gold, _line_spans(spark, d)))
@@ -342,9 +394,11 @@ def q32_archive_names(spark, d):
     return archive.numbered_names(rows, "p_partkey").select("p_partkey", "entry")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT doc_id, first // {_STRIDE} AS i, n AS size FROM ({_CHUNKS})), r AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS batch, CAST(1 AS BIGINT) AS n, size AS widest FROM s WHERE i = 0 UNION ALL
+  SELECT s.doc_id, s.i, CASE WHEN fits THEN batch ELSE batch + 1 END, CASE WHEN fits THEN n + 1 ELSE 1 END, CASE WHEN fits THEN greatest(widest, s.size) ELSE s.size END FROM (SELECT r.*, x.size AS next, r.n < 4 AND greatest(r.widest, x.size) * (r.n + 1) <= 1024 AS fits FROM r JOIN s x ON x.doc_id = r.doc_id AND x.i = r.i + 1) q JOIN s ON s.doc_id = q.doc_id AND s.i = q.i + 1)
+  SELECT doc_id, batch, count(*) AS size FROM r GROUP BY ALL""")
 def q33_batch_pack(spark, d):
-    """Chunks of each document packed into batches of at most 4 and of 4096 tokens, padding included."""
+    """Chunks of each document packed into batches of at most 4 and of 1024 tokens, padding included."""
     n = _docs(spark, d).select("doc_id", F.size(words.words(F.col("text"))).alias("n"))
     firsts = n.select("doc_id", "n", words.chunk_firsts(F.col("n"), MAX_WORDS, OVERLAP_WORDS).alias("firsts"))
     rows = firsts.select("doc_id", F.transform("firsts", lambda f: F.least(F.lit(MAX_WORDS), F.col("n") - f)).alias("sizes"))
@@ -352,22 +406,26 @@ def q33_batch_pack(spark, d):
     def packed(series):
         return series.map(lambda sizes: [len(b) for b in codec.batches([codec.Encoded([0] * int(n), [], []) for n in sizes], 4, 1024)])
 
-    return rows.select("doc_id", F.pandas_udf(packed, "array<int>")("sizes").alias("batches"))
+    return _longs(rows.select("doc_id", F.posexplode(F.pandas_udf(packed, "array<int>")("sizes")).alias("batch", "size")))
 
 
 @query("SELECT p_partkey, CAST(s AS BIGINT) AS start, CAST(least(7, p_size - s) AS BIGINT) AS size FROM (SELECT p_partkey, p_size, unnest(range(0, p_size, 7)) AS s FROM part) WHERE s >= 14")
 def q34_chunk_ranges(spark, d):
     """Ranges of a file still to be fetched: all of its chunks without those held, here the first two."""
-    rows = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("long").alias("total"))
-    every = rows.where("total > 0").select("p_partkey", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(7).cast("long"))).alias("start"))
-    held = every.where("start < 14").select("p_partkey", "start")
-    return every.join(held, ["p_partkey", "start"], "left_anti").select("p_partkey", "start", F.least(F.lit(7), F.col("total") - F.col("start")).cast("long").alias("size"))
+    files = _t(spark, d, "part").select(F.col("p_partkey").alias("url"), F.col("p_size").cast("long").alias("total"))
+    held = models.ranges(files, 7).where("start < 14").select("url", "start")
+    return models.missing(files, held, 7).select(F.col("url").alias("p_partkey"), "start", "size")
+
+
+_HALF = Q.masked("SELECT doc_id, text FROM documents", Q.islands(f"(SELECT * FROM ({_DOC_SPANS}) WHERE label = 'private_email')", "doc_id", True))
+_LEFT = Q.matches(f"({_HALF})", "doc_id", "text", ALL)
 
 
-@query(f"SELECT doc_id, len(warnings) AS warnings FROM (SELECT doc_id, [] AS warnings FROM ({_MASKED}))")
+@query(f"SELECT doc_id, CAST(doc_id IN (SELECT doc_id FROM ({_LEFT})) AS BIGINT) AS warnings FROM documents")
 def q35_verify_output(spark, d):
+    """Only addresses are masked: whatever else is left must be noticed."""
     docs = _docs(spark, d)
-    masked = mask_texts(docs, S.merge_ranges(pattern_spans(docs)))
+    masked = mask_texts(docs, S.merge_ranges(pattern_spans(docs).where("label = 'private_email'")))
     return verified(masked, find_patterns).select("doc_id", F.size("warnings").cast("long").alias("warnings"))
 
 
@@ -389,7 +447,11 @@ def q36_span_decode(spark, d):
     return _longs(out.drop("score"))
 
 
-@query()
+_TOKEN = "coalesce(embedding[({w}) * 6 + entity * 3 + {part}], -50.0)"
+
+
+@query(f"""SELECT vec_id, start, "end", entity FROM (SELECT vec_id, embedding, start, entity, unnest(range(start, 11)) AS "end" FROM (SELECT vec_id, embedding, unnest(range(11)) AS start, e AS entity FROM embeddings, (VALUES (CAST(0 AS BIGINT)), (1)) AS v(e)))
+  WHERE {_TOKEN.format(w='start', part=1)} >= 0 AND {_TOKEN.format(w='"end"', part=2)} >= 0 AND len(list_filter(range(start, "end" + 1), lambda k: {_TOKEN.format(w='k', part=3)} < 0)) = 0""")
 def q37_token_decode(spark, d):
     """All 64 components as 11 words of 2 entities; the last word's two missing scores can't be reached."""
 
@@ -398,7 +460,8 @@ def q37_token_decode(spark, d):
 
         return series.map(lambda v: [list(map(int, c[:3])) for c in codec.token_candidates(np.pad(np.asarray(v, float), (0, -len(v) % 6), constant_values=-50.0).reshape(1, -1, 2, 3) * 5, 0, -(-len(v) // 6), 2, 0.5)])
 
-    return _t(spark, d, "embeddings").select("vec_id", F.pandas_udf(decoded, "array<array<int>>")("embedding").alias("spans"))
+    rows = _t(spark, d, "embeddings").select("vec_id", F.explode(F.pandas_udf(decoded, "array<array<long>>")("embedding")).alias("c"))
+    return rows.select("vec_id", F.col("c")[0].alias("start"), F.col("c")[1].alias("end"), F.col("c")[2].alias("entity"))
 
 
 _NMS = "SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS \"at\", l_partkey % 30 AS start, l_partkey % 30 + l_suppkey % 6 AS \"end\", 'x' AS label, l_extendedprice AS score FROM lineitem"
@@ -525,9 +588,10 @@ def q46_model_and_patterns(spark, d):
     return A.detections(A.marks(spans_by(A.as_readings(rows), find, keep=A.READING, value=True), A.as_readings(rows))).groupBy("label").agg(F.count("*").alias("n"), F.max("score").alias("top"))
 
 
-@query("SELECT doc_id, 'u' || length(text) AS units FROM documents")
+@query("SELECT doc_id, 'u' || (length(t) + length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) AS units FROM (SELECT doc_id, text || repeat('🙂𝔘é', CAST(doc_id % 3 AS BIGINT)) AS t FROM documents)")
 def q47_utf16_offsets(spark, d):
-    docs = _docs(spark, d)
+    """Texts with characters of two UTF-16 units at their ends."""
+    docs = _docs(spark, d).withColumn("text", F.concat("text", F.repeat(F.lit("🙂𝔘é"), (F.col("doc_id") % 3).cast("int"))))
     return docs.select("doc_id", F.concat(F.lit("u"), X.to_utf16(F.col("text"), F.length("text"))).alias("units"))
 
 
@@ -547,3 +611,48 @@ def q50_progress_fraction(spark, d):
     stage = F.expr("CASE o_orderstatus WHEN 'F' THEN 'stage.finished' WHEN 'P' THEN 'stage.detecting' ELSE 'stage.rendering' END")
     return _t(spark, d, "orders").select("o_orderkey", formats.fraction_at(stage, F.col("o_totalprice") / 100000).alias("bar"))
 
+
+
+# ---------------------------------------------------------------- planted identifiers, over orders
+
+_DATE_PARTS = "CAST(o_orderkey % 28 + 1 AS {t})"
+_PLANTED = (
+    "'CPF ' || substr(c, 1, 3) || '.' || substr(c, 4, 3) || '.' || substr(c, 7, 3) || '-' || substr(c, 10, 2) || ' | ' || c || ' | CNPJ ' || substr(j, 1, 2) || '.' || substr(j, 3, 3) || '.' || substr(j, 6, 3) || '/' || substr(j, 9, 4) || '-' || substr(j, 13, 2)"
+    " || ' | ' || b || ' | ' || n || ' | RG: ' || substr(c, 4, 8) || '-X | CNH ' || substr(j, 5, 10) || ' | CEP ' || substr(c, 1, 5) || '-' || substr(c, 6, 3) || ' | Rua das Flores, ' || substr(c, 9, 3) || ' | ' || day || '/10/2021 | ' || day || ' de março de 2019 | March ' || day || ', 2020"
+    " | +55 11 9' || substr(j, 1, 4) || '-' || substr(j, 5, 4) || ' | 555-123-' || substr(c, 1, 4) || ' | 4' || j || '7 | x' || c || '@example.org'"
+)
+_PARTS = f"o_orderkey, {_CPF} AS c, {_CNPJ} AS j, {_IBAN.replace('VARCHAR', '{t}')} AS b, {_DNI} AS n, {_DATE_PARTS} AS day"
+_PLANTED_SQL = f"SELECT o_orderkey, {_PLANTED} AS text FROM (SELECT {_PARTS.format(t='VARCHAR', i='BIGINT')} FROM orders)"
+
+
+def _planted(spark, d) -> DataFrame:
+    """A text of every pattern's kind for each order; about one in a hundred check digits is right by chance."""
+    parts = _t(spark, d, "orders").selectExpr(*_split_columns(_PARTS.format(t="STRING", i="INT")))
+    return parts.select("o_orderkey", F.expr(_PLANTED).alias("text"))
+
+
+def _split_columns(columns: str) -> list[str]:
+    """Top-level columns of a SELECT list."""
+    out, depth, at = [], 0, 0
+    for i, x in enumerate(columns):
+        depth += (x == "(") - (x == ")")
+        if x == "," and not depth:
+            out.append(columns[at:i])
+            at = i + 1
+    return [*out, columns[at:]]
+
+
+@query(f'SELECT o_orderkey, start, "end", label, score FROM ({Q.absorbed(Q.matches(f"({_PLANTED_SQL})", "o_orderkey", "text", ALL), "o_orderkey")})')
+def q51_planted_patterns(spark, d):
+    return _longs(pattern_spans(_planted(spark, d), "text", ("o_orderkey",)))
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS pattern, count(*) AS n, CAST(coalesce(sum(start), 0) AS BIGINT) AS starts FROM ({Q.matches(f'({_PLANTED_SQL})', 'o_orderkey', 'text', [name])})" for name in ALL))
+def q51b_planted_by_pattern(spark, d):
+    """Each pattern alone, by native expressions."""
+    rows = _planted(spark, d)
+    each = [native_spans(rows, [name], keep=("o_orderkey",)).agg(F.lit(name).alias("pattern"), F.count("*").alias("n"), F.coalesce(F.sum("start"), F.lit(0)).alias("starts")) for name in ALL]
+    out = each[0]
+    for x in each[1:]:
+        out = out.unionByName(x)
+    return out

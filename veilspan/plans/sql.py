@@ -90,7 +90,7 @@ def matches(table: str, key: str, text: str, names) -> str:
 def absorbed(spans: str, keys: str) -> str:
     """Nested spans of a label folded into their container."""
     return f"""SELECT {keys}, label, min(start) AS start, max("end") AS "end", max(score) AS score FROM (
-      SELECT *, sum(fresh) OVER (PARTITION BY {keys}, label ORDER BY start, "end" DESC ROWS UNBOUNDED PRECEDING) AS grp FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY {keys}, label ORDER BY start, "end" DESC, fresh DESC ROWS UNBOUNDED PRECEDING) AS grp FROM (
         SELECT *, CASE WHEN "end" <= max("end") OVER (PARTITION BY {keys}, label ORDER BY start, "end" DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ({spans}) q0) q1) q2
     GROUP BY {keys}, label, grp"""
 
