@@ -59,6 +59,16 @@ def plain_place(key, tree):
 WEIGHTED = [sharding.Shard(i // 4, i // 2 % 2, w) for i, w in enumerate((1, 2, 3, 0, 1, 1, 1, 1))]
 
 
+def test_sharding_sql(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op1_sharding"])
+    names = [c[0] for c in want.description]
+    assert sorted(want.fetchall()) == sorted(tuple(r) for r in queries.op1_sharding(spark, sf).select(names).collect())
+
+
 def test_weights_and_movement(spark):
     ids = spark.range(30_000).select(F.col("id").alias("doc_id"))
     heavier = [*WEIGHTED[:5], sharding.Shard(1, 0, 4.0), *WEIGHTED[6:]]

@@ -92,5 +92,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-#: None of the ten can be said in SQL that DuckDB runs: they hash with XXH64, train, tokenise or write streams.
-ORACLE_SQL: dict[str, str] = {}
+def _sharding_sql() -> str:
+    """op1 in SQL: the same descent by MD5, running slots in the order of buckets, and CRC-32 by a fold over bytes."""
+
+    def child(path: str, weights: dict[int, float]) -> str:
+        draw = lambda c, w: f"-ln((CAST('0x' || substr(md5('{path}/{c}/' || k), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0) / {w:.1f}"
+        return f"list_sort([{', '.join(f'{{d: {draw(c, w)}, c: {c}}}' for c, w in weights.items())}])[1].c" if len(weights) > 1 else str(next(iter(weights)))
+
+    def descend(tree: list[sharding.Shard], level: int = 0, path: str = "root", own: list[int] | None = None) -> str:
+        own = list(range(len(tree))) if own is None else own
+        of = lambda i: (tree[i].region, tree[i].rack, i)[level]
+        weights: dict[int, float] = {}
+        for i in own:
+            weights[of(i)] = weights.get(of(i), 0) + tree[i].weight
+        if level == 2:
+            return child(path, weights)
+        below = {c: descend(tree, level + 1, f"{path}/{c}", [i for i in own if of(i) == c]) for c in weights}
+        return f"(CASE {child(path, weights)} {' '.join(f'WHEN {c} THEN {x}' for c, x in below.items())} END)"
+
+    tree = sharding.topology(SHARDS)
+    crc = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT))"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END"
+    return f"""WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, b: {step})) AS tab),
+      d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {crc} AS text_crc32 FROM documents, t),
+      p AS (SELECT *, CAST({descend(tree)} AS INT) AS shard, CAST({descend(sharding.grow(tree))} AS INT) AS grown_shard, CAST('0x' || substr(md5(k || '/' || size || '/' || text_crc32), 1, 8) AS BIGINT) % {sharding.BUCKETS} AS bucket FROM d)
+      SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, k, size, text_crc32) - 1 AS slot, grown_shard FROM p"""
+
+
+#: The others can't be said in SQL that DuckDB runs: they hash with XXH64, train, tokenise or write streams.
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _sharding_sql()}
