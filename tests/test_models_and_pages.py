@@ -135,4 +135,4 @@ def test_token_decode_reads_all_components(spark, tmp_path):
 
     last = [-1.0] * 60 + [1.0, 1.0, 1.0, -1.0]
     spark.createDataFrame([(1, last)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    assert [r["spans"] for r in queries.QUERIES["q37_token_decode"](spark, str(tmp_path)).collect()] == [[[10, 10, 0]]]
+    assert [(r["start"], r["end"], r["entity"]) for r in queries.QUERIES["q37_token_decode"](spark, str(tmp_path)).collect()] == [(10, 10, 0)]

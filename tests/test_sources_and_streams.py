@@ -105,3 +105,43 @@ def test_failures_are_isolated(spark):
     assert got == {1: ("fine", []), 2: (None, ["failure: ValueError: boom"])}
     with pytest.raises(Exception, match="boom"):
         redact(rows, find).collect()
+
+
+def test_public_names():
+    import veilspan
+
+    for name in veilspan.__all__:
+        assert getattr(veilspan, name) is not None
+    with pytest.raises(AttributeError):
+        veilspan.nothing
+
+
+def test_scores_by_language(spark):
+    from veilspan.operators import evaluate
+
+    gold = spark.createDataFrame([(1, 0, 5, "a"), (1, 9, 12, "a"), (2, 0, 4, "b")], "doc_id long, start int, end int, label string")
+    found = spark.createDataFrame([(1, 1, 4, "a", 1.0), (1, 3, 6, "a", 1.0), (2, 8, 9, "b", 1.0)], "doc_id long, start int, end int, label string, score double")
+    docs = spark.createDataFrame([(1, "en"), (2, "pt"), (3, "es")], "doc_id long, language string")
+    counts = evaluate.counts(gold, found)
+    got = {r["language"]: (r["true_positive"], r["false_positive"], r["false_negative"]) for r in evaluate.by_language(counts, docs).collect()}
+    assert got == {"en": (1, 0, 1), "pt": (0, 1, 1)}
+    exact = {r["label"]: r["true_positive"] for r in evaluate.counts(gold, gold.selectExpr("*", "1.0 AS score"), exact=True).collect()}
+    assert exact == {"a": 2, "b": 1}
+
+
+def test_offsets_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from veilspan.functions.text import offsets
+
+    rows = spark.createDataFrame([(["ab", "", "🙂c"],), ([],), (None,)], "p array<string>")
+    assert [r[0] for r in rows.select(offsets(F.col("p"), 1)).collect()] == [[0, 3, 4, 7], [0], None]
+
+
+def test_analysis_gives_its_storage_back(spark):
+    from veilspan.plans import redact as R
+
+    a = R.analyse(spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string"))
+    assert a.marks.count() == 1 and a.marks.is_cached
+    a.release()
+    assert not a.marks.is_cached

@@ -68,6 +68,12 @@ def by_label(counts_: DataFrame) -> DataFrame:
     return scored(sums.withColumn("label", F.coalesce("label", F.lit("TOTAL"))))
 
 
+def by_language(counts_: DataFrame, docs: DataFrame) -> DataFrame:
+    """A row for each language of ``docs`` (doc_id, language); documents without counts have none."""
+    sums = counts_.join(docs.select("doc_id", "language"), "doc_id").groupBy("language").agg(*(F.sum(c).alias(c) for c in ("true_positive", "false_positive", "false_negative")))
+    return scored(sums)
+
+
 def report(scores: DataFrame) -> str:
     """A table of percentages with one decimal, for people."""
     rows = sorted((r.asDict() for r in scores.collect()), key=lambda r: (r["label"] == "TOTAL", r["label"]))

@@ -26,6 +26,12 @@ class Analysis:
     marks: DataFrame
     detections: DataFrame
     warnings: DataFrame
+    cached: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        """Give back the storage that the spans and marks take, once their results are written."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def analyse(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -> Analysis:
@@ -36,7 +42,7 @@ def analyse(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -
     spans = spans_by(readings, with_fields(find, kind), keep=A.READING, value=True).persist(StorageLevel.MEMORY_AND_DISK)
     marks = A.marks(A.reconcile(spans, readings), readings).persist(StorageLevel.MEMORY_AND_DISK)
     empty = F.when(F.length("text") == 0, F.array(F.lit("warning.noText"))).otherwise(F.array().cast("array<string>"))
-    return Analysis(readings, marks, A.detections(marks), docs.select("doc_id", empty.alias("warnings")))
+    return Analysis(readings, marks, A.detections(marks), docs.select("doc_id", empty.alias("warnings")), (spans, marks))
 
 
 def analyse_readings(readings: DataFrame, find: Detect = find_patterns) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +57,7 @@ def apply(analysis: Analysis, decisions: DataFrame, find: Detect = find_patterns
     masked = mask_texts(analysis.readings.select("doc_id", "text"), merge_ranges(kept.select("doc_id", "start", "end")))
     counts = A.redaction_counts(kept, analysis.readings)
     out = masked.join(counts, "doc_id", "left").fillna(0, ["redaction_count"]).join(analysis.warnings, "doc_id")
-    visible = F.udf(csv_body)("text") if kind == "csv" else F.col("text")
+    visible = F.udf(csv_body, "string", useArrow=True)("text") if kind == "csv" else F.col("text")
     seen = verified(out.withColumn("__visible", visible), find, "__visible")
     return seen.select("doc_id", "text", "redaction_count", "warnings")
 

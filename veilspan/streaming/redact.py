@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from veilspan.operators.analysis import default_decisions
 from veilspan.operators.extract import Detect, find_patterns
-from veilspan.plans.redact import redact_long, redact_one
+from veilspan.plans.redact import analyse, apply, redact_one
 
 
 def redact_rows(stream: DataFrame, find: Detect = find_patterns, kind: str = "text", text: str = "text") -> DataFrame:
@@ -30,6 +31,10 @@ def redact_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], c
     should overwrite by number so that a repeated batch changes nothing."""
 
     def each(batch: DataFrame, number: int) -> None:
-        write(redact_long(batch, find, kind), number)
+        analysis = analyse(batch, find, kind)
+        try:
+            write(apply(analysis, default_decisions(analysis.detections), find, kind), number)
+        finally:
+            analysis.release()  # a long stream would fill the storage memory otherwise
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
