@@ -458,6 +458,21 @@ def test_nothing_unequal_is_deleted(spark, n):
     assert rows == dict(docs)
 
 
+@pytest.mark.parametrize("shards", [1, 7, 200])
+def test_deletions_are_found_by_id_and_text(spark, shards):
+    """Each row its own list, also where an id has several texts; nothing for other rows."""
+    want = {(i, i * 7 % 5 - 2): list(range(i % 4 + 1)) for i in range(-50, 300)} | {(5, x): [x] for x in range(20, 40)}
+    gone = spark.createDataFrame([(i, t, u) for (i, t), u in want.items()], "id long, t long, gone array<int>")
+    table = linedup.Deletions.write(gone, shards)
+    asked = [*want, (1000, 1), (5, 41)]
+    keys = spark.createDataFrame(asked, "id long, t long").selectExpr("id", "t", "xxhash64(id, t) AS k").toPandas()
+    got = table.find(keys["k"].to_numpy().view(np.uint64), keys["id"].to_numpy(), keys["t"].to_numpy())
+    assert {(int(keys["id"][i]), int(keys["t"][i])): u for i, u in got.items()} == want
+    # Keys that all lead to one entry, as if they collided: only its own row is found.
+    same = np.full(len(keys), keys["k"].to_numpy()[0]).view(np.uint64)
+    assert table.find(same, keys["id"].to_numpy(), keys["t"].to_numpy()) == {0: want[asked[0]]}
+
+
 def test_line_dedup_odd_rows(spark, odd):
     p = passage(77)
     df = odd.withColumns({"removed_units": F.lit(1), "removed_words": F.lit("x"), "__gone": F.lit(2)}).drop("__gone")

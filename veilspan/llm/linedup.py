@@ -13,7 +13,8 @@ they share, and the same between these. Aligned blocks of at least ``block_words
 What has no unique anchor, such as a passage that either side repeats, is matched exactly by a suffix automaton of the owner:
 every occurrence in the later document of a run that the owner holds goes, wherever in the owner it stands.
 
-The hashes and owners of shared runs are sorted arrays in the shared folder, mapped where they are looked up.
+The hashes and owners of shared runs are sorted arrays in the shared folder, mapped where they are looked up. So are the units
+to delete, by the documents that lose them: texts are read where they stand and never shuffled.
 
 Defined cases: a null or empty text stays as it is; rows without an id stay whole; rows that share an id count as one
 document, and lose nothing to each other; repeated rows lose the same units each; blank lines are no units, and go with the
@@ -371,26 +372,83 @@ def deletions(docs: DataFrame, key: str = "doc_id", text: str = "text", block_wo
     return found.groupBy("id", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
+class Deletions:
+    """The units to delete by (id, text's hash), from sorted arrays in the shared folder; as many shards as the texts ask for."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards = folder, shards
+        self.rows = C.ShardedArrays(folder, "gone", shards, ["<u8", "<i8", "<i8", "<i8", "<i8"])
+        self.units = C.ShardedArrays(folder, "units", shards, ["<u4"])
+
+    @classmethod
+    def write(cls, gone: DataFrame, shards: int) -> Deletions:
+        """From id, t and gone, of which no id and t come twice."""
+        folder = C.new_folder(gone.sparkSession, "line-deletions")
+        key = F.xxhash64("id", "t")
+        # The shard that shard_bounds gives the key.
+        shard = F.shiftright((F.shiftrightunsigned(key, 40) + 1) * shards - 1, 24).cast("int")
+
+        def put(k, table):
+            s = k[0].as_py()
+            order = np.argsort(table["k"].to_numpy().view(U64), kind="stable")
+            table = table.take(pa.array(order))
+            lists = table["gone"].combine_chunks()
+            end = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            C.put_columns(folder, f"units-{s:06d}", [lists.flatten().to_numpy().astype("<u4")])
+            C.put_columns(folder, f"gone-{s:06d}", [*(table[c].to_numpy() for c in ("k", "id", "t")), np.r_[0, end[:-1]], end])
+            return pa.table({"shard": pa.array([s], pa.int32())})
+
+        rows = gone.select("id", "t", "gone", key.alias("k"), shard.alias("shard"))
+        done = rows.groupBy("shard").applyInArrow(put, "shard int").collect()
+        for s in set(range(shards)) - {r["shard"] for r in done}:
+            C.put_columns(folder, f"units-{s:06d}", [np.zeros(0, "<u4")])
+            C.put_columns(folder, f"gone-{s:06d}", [np.zeros(0, np.int64)] * 5)
+        return cls(folder, shards)
+
+    def find(self, keys: np.ndarray, ids: np.ndarray, t: np.ndarray) -> dict[int, list[int]]:
+        """Row to units, of the rows that lose any. Keys only lead there: id and hash must be the row's own."""
+        out, order = {}, np.argsort(keys, kind="stable")
+        for s, part in C.split_by_shard(keys[order], self.shards):
+            table, own, texts, start, end = self.rows.shard(s)
+            rows = order[part]
+            at = np.searchsorted(table, keys[rows])
+            while len(rows):
+                led = at < len(table)
+                led[led] = table[at[led]] == keys[rows[led]]
+                rows, at = rows[led], at[led]
+                same = (own[at] == ids[rows]) & (texts[at] == t[rows])
+                for row, i in zip(rows[same].tolist(), at[same].tolist()):
+                    out[row] = self.units.shard(s)[0][start[i] : end[i]].tolist()
+                rows, at = rows[~same], at[~same] + 1
+        return out
+
+
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with shared blocks deleted from ``text``, and removed_units and removed_words behind its columns."""
-    gone = deletions(docs, key, text, block_words).select(F.col("id").alias("__id"), F.col("t").alias("__t"), F.col("gone").alias("__gone"))
+    table = Deletions.write(deletions(docs, key, text, block_words), C.shards_for(docs, [text]))
+    folder, shards = table.folder, table.shards
     names = C.kept(docs.columns, ["removed_units", "removed_words"])
-    rows = docs.select(*names).join(gone, (F.col(key).cast("long") == F.col("__id")) & (F.xxhash64(text) == F.col("__t")), "left").select(*names, "__gone")
+    id_, t, k = (C.free_name(names, n) for n in ("__id", "__t", "__k"))
+    # A null id or text has a hash too, but no row of the table.
+    own = F.col(key).cast("long")
+    rows = docs.select(*names, F.coalesce(own, F.lit(0)).alias(id_), F.xxhash64(text).alias(t), F.when(own.isNotNull() & F.col(text).isNotNull(), F.xxhash64(own, F.xxhash64(text))).alias(k))
 
     def delete(batches):
+        gone = Deletions(folder, shards)
         for b in C.slices(batches, text):
             texts, n_units, n_words = b[text], np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-            lists = b["__gone"]
-            hit = np.flatnonzero(~np.asarray(lists.is_null()))
+            asked = np.flatnonzero(np.asarray(b[k].is_valid()))
+            lists = gone.find(*(np.asarray(b[c].take(pa.array(asked))).view(x) for c, x in ((k, U64), (id_, np.int64), (t, np.int64))))
+            lists = {int(asked[i]): lost for i, lost in lists.items()}
+            hit = np.array(sorted(lists), np.int64)
             if len(hit):
-                own = texts.take(pa.array(hit))
-                raw, off = C.text_bytes(own)
+                raw, off = C.text_bytes(texts.take(pa.array(hit)))
                 _, words, s, e, at = units(raw, off)
                 new = []
-                for k, i in enumerate(hit.tolist()):
-                    lost, part = lists[i].as_py(), slice(at[k], at[k + 1])
+                for j, i in enumerate(hit.tolist()):
+                    lost, part = lists[i], slice(at[j], at[j + 1])
                     n_units[i], n_words[i] = len(lost), int(words[part][lost].sum())
-                    new.append(without(raw[off[k] : off[k + 1]].tobytes(), (s[part] - off[k]).tolist(), (e[part] - off[k]).tolist(), lost).decode("utf-8", "surrogatepass"))
+                    new.append(without(raw[off[j] : off[j + 1]].tobytes(), (s[part] - off[j]).tolist(), (e[part] - off[j]).tolist(), lost).decode("utf-8", "surrogatepass"))
                 place = np.arange(b.num_rows)
                 place[hit] = b.num_rows + np.arange(len(hit))
                 texts = pa.concat_arrays([texts, pa.array(new, texts.type)]).take(pa.array(place))
