@@ -31,6 +31,16 @@ def test_names(spark):
     assert [r["entry"] for r in archive.numbered_names(rows, "n").orderBy("n").collect()] == ["x/a.txt", "x/a (2).txt", ".x", ".x (2)", "file"]
 
 
+def test_numbered_names_as_one_by_one(spark):
+    names = ["a.txt", "a (2).txt", "a.txt", "a.txt", "a (2).txt", "a (2) (2).txt", "b", "b", "c (2)", "c", ".x (2)", ".x", ".x", "", "file", "d.e/f", "d.e/f"]
+    rows = spark.createDataFrame(list(enumerate(names)), "n int, name string")
+    got = [r["entry"] for r in archive.numbered_names(rows, "n").orderBy("n").collect()]
+    assert got == archive.archive_names(names) and len(set(got)) == len(got)
+    assert archive.numbered_names(spark.createDataFrame([], "n int, name string"), "n").count() == 0
+    paths = spark.createDataFrame([("in/sub/x.heic", "x.png"), ("y", "y"), (None, "z")], "path string, name string")
+    assert [r[0] for r in paths.select(archive.path_entry(paths["path"], paths["name"])).collect()] == ["in/sub/x.png", "y", None]
+
+
 def test_zip(tmp_path):
     path = str(tmp_path / "out.zip")
     assert archive.write_zip(path, [("a", b"1"), ("a", b"2")]) == path
@@ -88,8 +98,50 @@ def test_model_files(spark):
 def test_command(spark, folder, tmp_path):
     from veilspan.__main__ import main
 
-    total = main([str(folder), str(tmp_path / "res")])
-    assert total["file_count"] == 3 and total["redaction_count"] == 3 and total["failures"] == 1
+    (folder / "sub" / "a.txt").write_text("again c@d.co")
+    (folder / "e.pdf").write_bytes(b"%PDF")
+    out = tmp_path / "res"
+    for _ in range(2):
+        total = main([str(folder), str(tmp_path / "nowhere"), str(out), "--zip"])
+        assert total["file_count"] == 4 and total["redaction_count"] == 4 and total["failures"] == 2
+        files = {p.name: p.read_text() for p in (out / "files").iterdir() if p.suffix != ".crc"}
+        assert files == {"a.txt": "mail ██████", "a (2).txt": "again ██████", "b.CSV": "email\n██████\n", "d.json": '{"name": "███"}'}
+    assert sorted(zipfile.ZipFile(out / "redacted.zip").namelist()) == sorted(files) and (out / "redacted (2).zip").exists()
+    assert main(["models"])[0][1] in ("span", "token")
+    with pytest.raises(SystemExit):
+        main([str(tmp_path / "nowhere"), str(out)])
+
+
+def test_evaluation_run(spark, tmp_path):
+    from veilspan.plans import evaluation
+
+    (tmp_path / "1.json").write_text('{"id": "one", "language": "en", "source": "synthetic", "marked": "To [[private_email|a@b.co]], [[private_person|Ana]]."}')
+    (tmp_path / "2.json").write_text('{"id": "two", "language": "pt", "source": "synthetic", "marked": "nada"}')
+    docs = corpus.load(spark, str(tmp_path))
+    done = evaluation.run(docs)
+    scores = {(r["table"], r["name"]): (r["true_positive"], r["false_positive"], r["false_negative"]) for r in done.scores().collect()}
+    assert all(scores[t, "TOTAL"] == (1, 0, 1) for t in evaluation.TABLES if t != "by_language") and scores["by_language", "en"] == (1, 0, 1)
+    assert {r["id"]: len(r["predicted"]) for r in done.predicted.collect()} == {"one": 1, "two": 0}
+    assert done.report().count("TOTAL") == 5
+    assert evaluation.run(docs, chosen="on").predicted.count() == 1
+    assert evaluation.run(docs, floor=1.1).predicted.where("size(predicted) > 0").count() == 0
+    with pytest.raises(ValueError, match="nobody"):
+        evaluation.run(docs, chosen="nobody")
+
+
+def test_trimmed_vocabulary(spark):
+    from veilspan.sources import models
+
+    own = spark.createDataFrame([("▁a", 0), ("né", 1), ("日", 2), ("я", 3), ("", 4), ("x\n", 5)], "piece string, old int")
+    protected = spark.createDataFrame([("я",)], "piece string")
+    assert {r["old"] for r in models.trimmed(own, protected).collect()} == {0, 1, 3, 4, 5}
+
+
+def test_words_that_a_font_lacks(spark):
+    from veilspan.operators import geometry
+
+    rows = spark.createDataFrame([(1, "né €"), (2, "日本"), (2, "я"), (3, "")], "doc_id long, text string")
+    assert [tuple(r) for r in geometry.dropped_characters(rows).collect()] == [(2, "warning.droppedCharacters")]
 
 
 def test_failures_are_isolated(spark):
@@ -106,6 +158,13 @@ def test_failures_are_isolated(spark):
     with pytest.raises(Exception, match="boom"):
         redact(rows, find).collect()
 
+    def gone(text):
+        from veilspan.plans.redact import RedactionFailure
+
+        raise RedactionFailure("failure.modelGone", "no weights")
+
+    assert {r["warnings"][0] for r in redact(rows, gone, isolate=True).collect()} == {"failure.modelGone"}
+
 
 def test_public_names():
     import veilspan

@@ -27,42 +27,42 @@ FAILURES = ("failure.modelGone", "failure.modelSilent", "failure.modelUnreadable
 # Field names of forms, by language and label, without marks or separators.
 FIELD_NAMES = {
     "en": {
-        "account_number": "accountnumber bankaccount cardnumber creditcard iban passport passportnumber ssn taxid",
-        "private_address": "address postalcode streetaddress zip zipcode",
-        "private_date": "birthdate dateofbirth dob",
-        "private_email": "email emailaddress mail",
-        "private_person": "firstname fullname givenname lastname name surname username",
-        "private_phone": "mobile phone phonenumber telephone whatsapp",
-        "private_url": "profileurl website",
-        "secret": "accesstoken apikey credential password secret token",
+        "account_number": ("accountnumber", "bankaccount", "cardnumber", "creditcard", "iban", "passport", "passportnumber", "ssn", "taxid"),
+        "private_address": ("address", "postalcode", "streetaddress", "zip", "zipcode"),
+        "private_date": ("birthdate", "dateofbirth", "dob"),
+        "private_email": ("email", "emailaddress", "mail"),
+        "private_person": ("firstname", "fullname", "givenname", "lastname", "name", "surname", "username"),
+        "private_phone": ("mobile", "phone", "phonenumber", "telephone", "whatsapp"),
+        "private_url": ("profileurl", "website"),
+        "secret": ("accesstoken", "apikey", "credential", "password", "secret", "token"),
     },
     "es": {
-        "account_number": "cuenta dni iban nie pasaporte tarjeta",
-        "private_address": "codigopostal direccion",
-        "private_date": "fechadenacimiento",
-        "private_email": "correo email",
-        "private_person": "apellido apellidos nombre nombrecompleto titular usuario",
-        "private_phone": "celular movil telefono whatsapp",
-        "private_url": "perfil",
-        "secret": "contrasena",
+        "account_number": ("cuenta", "dni", "iban", "nie", "pasaporte", "tarjeta"),
+        "private_address": ("codigopostal", "direccion"),
+        "private_date": ("fechadenacimiento",),
+        "private_email": ("correo", "email"),
+        "private_person": ("apellido", "apellidos", "nombre", "nombrecompleto", "titular", "usuario"),
+        "private_phone": ("celular", "movil", "telefono", "whatsapp"),
+        "private_url": ("perfil",),
+        "secret": ("contrasena",),
     },
     "pt": {
-        "account_number": "cartao cnh cnpj conta cpf iban passaporte rg",
-        "private_address": "cep endereco logradouro",
-        "private_date": "datadenascimento nascimento",
-        "private_email": "correio email",
-        "private_person": "nome nomecompleto sobrenome titular usuario",
-        "private_phone": "celular telefone whatsapp",
-        "private_url": "perfil",
-        "secret": "senha",
+        "account_number": ("cartao", "cnh", "cnpj", "conta", "cpf", "iban", "passaporte", "rg"),
+        "private_address": ("cep", "endereco", "logradouro"),
+        "private_date": ("datadenascimento", "nascimento"),
+        "private_email": ("correio", "email"),
+        "private_person": ("nome", "nomecompleto", "sobrenome", "titular", "usuario"),
+        "private_phone": ("celular", "telefone", "whatsapp"),
+        "private_url": ("perfil",),
+        "secret": ("senha",),
     },
 }
 
 # Words that tell languages apart, without marks.
 STOPWORDS = {
-    "en": "and are at be but for from have in is it not of on that the they this to was with",
-    "es": "del el ella ese esta este esto fecha firma fue hasta hay la las los muy nombre pero sus tambien una validez ya",
-    "pt": "ao aos assinatura ate da das dos ela ele em emissao entao filiacao foi habilitacao isso ja muito nao nascimento nome numa pela pelo sao seu sua tambem uma validade voce",
+    "en": ("and", "are", "at", "be", "but", "for", "from", "have", "in", "is", "it", "not", "of", "on", "that", "the", "they", "this", "to", "was", "with"),
+    "es": ("del", "el", "ella", "ese", "esta", "este", "esto", "fecha", "firma", "fue", "hasta", "hay", "la", "las", "los", "muy", "nombre", "pero", "sus", "tambien", "una", "validez", "ya"),
+    "pt": ("ao", "aos", "assinatura", "ate", "da", "das", "dos", "ela", "ele", "em", "emissao", "entao", "filiacao", "foi", "habilitacao", "isso", "ja", "muito", "nao", "nascimento", "nome", "numa", "pela", "pelo", "sao", "seu", "sua", "tambem", "uma", "validade", "voce"),
 }
 OCR_DATA = {"en": "eng", "es": "spa", "pt": "por"}
 
@@ -84,7 +84,7 @@ SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end
 
 def field_labels() -> dict[str, str]:
     """Normalised field name -> label. A name that several languages share keeps the last one's label."""
-    return {n: label for names in FIELD_NAMES.values() for label, own in names.items() for n in own.split()}
+    return {n: label for names in FIELD_NAMES.values() for label, own in names.items() for n in own}
 
 
 def field_table(spark: SparkSession) -> DataFrame:
@@ -92,4 +92,4 @@ def field_table(spark: SparkSession) -> DataFrame:
 
 
 def stopword_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w, lang) for lang, own in STOPWORDS.items() for w in own.split()], "token string, language string")
+    return spark.createDataFrame([(w, lang) for lang, own in STOPWORDS.items() for w in own], "token string, language string")

@@ -18,17 +18,23 @@ START, END, INSIDE = 0, 1, 2
 CACHED_WORDS = 50_000
 
 # Prompts of the two vocabularies, (label, prompt).
-MULTI_PROMPTS = tuple(tuple(x.split(":")) for x in (
-    "private_person:person", "private_person:username", "private_address:address", "private_address:postal code", "private_email:email", "private_phone:phone number", "private_phone:mobile phone number",
-    "private_date:date of birth", "private_date:date", "account_number:cpf", "account_number:cnpj", "account_number:driver's license number", "account_number:passport number",
-    "account_number:identity card number", "account_number:national id number", "account_number:tax identification number", "account_number:bank account number", "account_number:iban",
-    "account_number:credit card number", "account_number:social security number", "account_number:health insurance number", "account_number:license plate number", "private_url:social media handle", "secret:password",
-))
-BASE_PROMPTS = tuple(tuple(x.split(":")) for x in (
-    "private_person:name", "private_person:username", "private_address:location address", "private_address:location street", "private_address:location zip", "private_email:email address",
-    "private_phone:phone number", "private_date:dob", "private_date:date", "account_number:cpf", "account_number:cnpj", "account_number:driver license", "account_number:passport number", "account_number:ssn",
-    "account_number:account number", "account_number:bank account", "account_number:iban", "account_number:credit card", "account_number:healthcare number", "account_number:vehicle id", "private_url:social media handle", "secret:password",
-))
+MULTI_PROMPTS = (
+    ("private_person", "person"), ("private_person", "username"), ("private_address", "address"), ("private_address", "postal code"),
+    ("private_email", "email"), ("private_phone", "phone number"), ("private_phone", "mobile phone number"), ("private_date", "date of birth"),
+    ("private_date", "date"), ("account_number", "cpf"), ("account_number", "cnpj"), ("account_number", "driver's license number"),
+    ("account_number", "passport number"), ("account_number", "identity card number"), ("account_number", "national id number"),
+    ("account_number", "tax identification number"), ("account_number", "bank account number"), ("account_number", "iban"),
+    ("account_number", "credit card number"), ("account_number", "social security number"), ("account_number", "health insurance number"),
+    ("account_number", "license plate number"), ("private_url", "social media handle"), ("secret", "password"),
+)
+BASE_PROMPTS = (
+    ("private_person", "name"), ("private_person", "username"), ("private_address", "location address"), ("private_address", "location street"),
+    ("private_address", "location zip"), ("private_email", "email address"), ("private_phone", "phone number"), ("private_date", "dob"),
+    ("private_date", "date"), ("account_number", "cpf"), ("account_number", "cnpj"), ("account_number", "driver license"),
+    ("account_number", "passport number"), ("account_number", "ssn"), ("account_number", "account number"), ("account_number", "bank account"),
+    ("account_number", "iban"), ("account_number", "credit card"), ("account_number", "healthcare number"), ("account_number", "vehicle id"),
+    ("private_url", "social media handle"), ("secret", "password"),
+)
 
 
 @dataclass(frozen=True)

@@ -74,10 +74,10 @@ def by_language(counts_: DataFrame, docs: DataFrame) -> DataFrame:
     return scored(sums)
 
 
-def report(scores: DataFrame) -> str:
+def report(scores: DataFrame, title: str = "", name: str = "label") -> str:
     """A table of percentages with one decimal, for people."""
-    rows = sorted((r.asDict() for r in scores.collect()), key=lambda r: (r["label"] == "TOTAL", r["label"]))
-    lines = [f"{'label':<18}{'P':>7}{'R':>7}{'F1':>7}{'tp/fp/fn':>14}"]
+    rows = sorted((r.asDict() for r in scores.collect()), key=lambda r: (r[name] == "TOTAL", r[name]))
+    lines = [*([title] if title else []), f"{name:<18}{'P':>7}{'R':>7}{'F1':>7}{'tp/fp/fn':>14}"]
     for r in rows:
-        lines.append(f"{r['label']:<18}" + "".join(f"{100 * r[c]:>7.1f}" for c in ("precision", "recall", "f1")) + f"{r['true_positive']:>8}/{r['false_positive']}/{r['false_negative']}")
+        lines.append(f"{r[name]:<18}" + "".join(f"{100 * r[c]:>7.1f}" for c in ("precision", "recall", "f1")) + f"{r['true_positive']:>8}/{r['false_positive']}/{r['false_negative']}")
     return "\n".join(lines)

@@ -10,7 +10,7 @@ import functools
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions.dimensions import BLEED, BLOCK_GAP, COLUMN_GAP, SAME_LINE
@@ -78,9 +78,15 @@ def cover_units(placed: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def page_actions(pages: DataFrame, rects: DataFrame) -> DataFrame:
-    """A page without rectangles is copied as it is, any other painted."""
+    """A page without rectangles is copied as it is, any other painted. Where ``pages`` says which are ``copyable``, the first
+    clean page that isn't, and all that follow in its document, are painted too."""
     dirty = rects.groupBy("doc_id", "unit_no").agg(F.count("*").alias("n"))
-    return pages.join(dirty, ["doc_id", "unit_no"], "left").withColumn("action", F.when(F.col("n").isNull(), "copy").otherwise("paint")).drop("n")
+    rows = pages.join(dirty, ["doc_id", "unit_no"], "left")
+    copied = F.col("n").isNull()
+    if "copyable" in pages.columns:
+        upto = Window.partitionBy("doc_id").orderBy("unit_no").rowsBetween(Window.unboundedPreceding, 0)
+        copied = copied & ~F.max(F.col("n").isNull() & ~F.coalesce("copyable", F.lit(False))).over(upto)
+    return rows.withColumn("action", F.when(copied, "copy").otherwise("paint")).drop("n")
 
 
 def carried_languages(pages: DataFrame) -> DataFrame:
@@ -177,6 +183,20 @@ def paint(pixels: np.ndarray, rects: list[tuple[float, float, float, float]]) ->
     return out
 
 
+#: What the standard fonts' encoding has beyond Latin-1.
+_BEYOND = bytes(range(128, 160)).decode("cp1252", "ignore")
+
+
+def drawable(text: Column) -> Column:
+    """Whether a standard font of PDF can write the text."""
+    return text.rlike(f"^[ -~\u00a0-\u00ff{_BEYOND}]*$")
+
+
+def dropped_characters(visible: DataFrame) -> DataFrame:
+    """(doc_id, warning) of documents with words that ``invisible_words`` can't write."""
+    return visible.where(~drawable(F.col("text"))).select("doc_id", F.lit("warning.droppedCharacters").alias("warning")).distinct()
+
+
 def invisible_words(visible: DataFrame, page_height: str = "page_height") -> DataFrame:
     """Where the surviving words are written back, unseen: half the box's height as size, upwards from the page's foot."""
     return visible.withColumn("size", (F.col("y1") - F.col("y0")) / 2).withColumn("x", F.col("x0")).withColumn("y", F.col(page_height) - F.col("y1"))

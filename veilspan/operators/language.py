@@ -18,7 +18,7 @@ def votes(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     shuffle; a null text has no hits."""
     rows = df.select(*keep, tokens_of(F.col(text)).alias("__tokens"))
     hits = lambda own: F.coalesce(F.size(F.filter("__tokens", lambda t: t.isin(*own))), F.lit(0)).cast("long")
-    return rows.select(*keep, *(hits(STOPWORDS[x].split()).alias(f"hits_{x}") for x in LANGUAGES))
+    return rows.select(*keep, *(hits(list(STOPWORDS[x])).alias(f"hits_{x}") for x in LANGUAGES))
 
 
 def winner(hits: dict[str, Column]) -> Column:

@@ -13,7 +13,7 @@ def vote(text: str) -> str | None:
 
     bare = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.category(c).startswith("M")).lower()
     tokens = regex.findall(r"[\p{L}']+", bare)
-    hits = {lang: sum(t in own for t in tokens) for lang, own in ((k, set(v.split())) for k, v in STOPWORDS.items())}
+    hits = {lang: sum(t in own for t in tokens) for lang, own in ((k, set(v)) for k, v in STOPWORDS.items())}
     top, second = sorted(hits.values())[::-1][:2]
     if top <= second or top / sum(hits.values()) * min(1, sum(hits.values()) / MIN_HITS) < MIN_CONFIDENCE:
         return None

@@ -17,6 +17,7 @@ from veilspan.operators.extract import dictionary, find_patterns, native_spans,
 from veilspan.operators.fields import csv_spans, json_spans, labelled_fields
 from veilspan.operators.mask import mask_texts
 from veilspan.operators.verify import leaks, verified
+from veilspan.plans import evaluation
 from veilspan.plans import redact as R
 from veilspan.plans import sql as Q
 from veilspan.sources import archive, corpus, formats, models
@@ -561,6 +562,45 @@ def q42_marked_corpus(spark, d):
     return rows.select("c_custkey", "text", F.get("spans", F.lit(0))["start"].cast("long").alias("first_start"), F.get("spans", F.lit(1))["start"].cast("long").alias("second_start"), F.get("spans", F.lit(1))["label"].alias("second_label"))
 
 
+_EVALUATED = """WITH d AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'text' ELSE 'csv' END AS format, ['en', 'es', 'pt'][c_custkey % 3 + 1] AS language FROM customer),
+  t AS (SELECT unnest(['overlap', 'exact', 'patterns', 'everything', 'analysed']) AS "table"),
+  c AS (SELECT "table", 'private_email' AS name, count(*) AS tp, 0 AS fn FROM d, t GROUP BY ALL UNION ALL
+    SELECT "table", 'private_person', count(*) FILTER (WHERE format = 'csv' AND "table" IN ('everything', 'analysed')), count(*) FILTER (WHERE format = 'text' OR "table" NOT IN ('everything', 'analysed')) FROM d, t GROUP BY ALL)
+  SELECT "table", name, CAST(tp AS BIGINT) AS true_positive, CAST(0 AS BIGINT) AS false_positive, CAST(fn AS BIGINT) AS false_negative FROM
+    (SELECT * FROM c UNION ALL SELECT "table", 'TOTAL', sum(tp), sum(fn) FROM c GROUP BY ALL UNION ALL SELECT 'by_language', language, count(*), count(*) FROM d GROUP BY ALL)"""
+
+
+@query(_EVALUATED)
+def q52_evaluation_run(spark, d):
+    """A corpus of sentences and tables, one address and one name each; only tables tell a name, by its header."""
+    marked = "CASE WHEN c_custkey % 2 = 0 THEN concat('Mail [[private_email|c', c_custkey, '@example.org]] to [[private_person|Ana Lima]].') ELSE concat('name,email\n[[private_person|Ana Lima]],[[private_email|c', c_custkey, '@example.org]]\n') END AS marked"
+    rows = _t(spark, d, "customer").selectExpr("CAST(c_custkey AS STRING) AS id", "element_at(array('en', 'es', 'pt'), CAST(c_custkey % 3 + 1 AS INT)) AS language", "if(c_custkey % 2 = 0, 'text', 'csv') AS format", marked)
+    scores = evaluation.run(corpus.parse_marked(rows, keep=("id", "language", "format"))).scores()
+    return _longs(scores.select("table", "name", "true_positive", "false_positive", "false_negative"))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS BIGINT) AS unit_no, bool_or(l_quantity < 15) AS dirty, bool_and(l_suppkey % 5 <> 3) AS copyable FROM lineitem GROUP BY ALL)
+  SELECT doc_id, unit_no, CASE WHEN dirty OR EXISTS (SELECT 1 FROM p b WHERE b.doc_id = p.doc_id AND b.unit_no <= p.unit_no AND NOT b.dirty AND NOT b.copyable) THEN 'paint' ELSE 'copy' END AS action FROM p""")
+def q53_page_actions(spark, d):
+    """Order lines as pages: some have something to paint, some can't be copied."""
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("unit_no"), "l_quantity", "l_suppkey")
+    pages = lines.groupBy("doc_id", "unit_no").agg(F.bool_and(F.col("l_suppkey") % 5 != 3).alias("copyable"))
+    return geometry.page_actions(pages, lines.where("l_quantity < 15")).select("doc_id", "unit_no", "action")
+
+
+_NAME = "CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN p_brand || '.txt' WHEN 1 THEN p_brand || ' (2).txt' WHEN 2 THEN p_brand || ' (3).txt' ELSE p_type || '.txt' END"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT p_partkey, {_NAME} AS name, CASE WHEN p_partkey % 4 = 3 THEN p_type ELSE p_brand END AS kind FROM part), o AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY p_partkey) AS i FROM f),
+  r AS (SELECT kind, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS p_partkey, CAST('' AS VARCHAR) AS entry, CAST([] AS VARCHAR[]) AS taken FROM (SELECT DISTINCT kind FROM f) UNION ALL
+    SELECT kind, i, p_partkey, entry, list_append(taken, entry) FROM (SELECT o.kind, o.i, o.p_partkey, r.taken, list_filter(list_transform(range(1, o.i + 2), lambda n: CASE WHEN n = 1 THEN o.name ELSE replace(o.name, '.txt', ' (' || n || ').txt') END), lambda e: NOT list_contains(r.taken, e))[1] AS entry FROM r JOIN o ON o.kind = r.kind AND o.i = r.i + 1))
+  SELECT p_partkey, entry FROM r WHERE i > 0""")
+def q32b_archive_names_that_meet(spark, d):
+    """Names of which some look numbered already."""
+    rows = _t(spark, d, "part").select("p_partkey", F.expr(_NAME).alias("name"))
+    return archive.numbered_names(rows, "p_partkey").select("p_partkey", "entry")
+
+
 @query("SELECT o_orderkey, CASE WHEN reads = 0 THEN 'blank' WHEN (reads - legible) / reads > 0.25 THEN 'unreadable' ELSE 'legible' END AS legibility FROM (SELECT o_orderkey, count(l_orderkey) AS reads, count(*) FILTER (WHERE l_quantity * 2 >= 60) AS legible FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey)")
 def q43_legibility(spark, d):
     passes = _t(spark, d, "orders").select("o_orderkey")

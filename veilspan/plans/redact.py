@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.dimensions import ALIAS_WINDOW, APPLY_SCORE, MASK, MIN_TOKEN
+from veilspan.functions.dimensions import ALIAS_WINDOW, APPLY_SCORE, FAILURES, MASK, MIN_TOKEN
 from veilspan.operators import analysis as A
 from veilspan.operators.extract import Detect, absorb, find_patterns, spans_by
 from veilspan.operators.fields import STRUCTURES, csv_body, with_fields
@@ -18,6 +18,20 @@ from veilspan.operators.spans import merge_ranges
 from veilspan.operators.verify import verified
 
 
+class RedactionFailure(Exception):
+    """A failure that a user can be told about: its key is one of FAILURES."""
+
+    def __init__(self, key: str, message: str | None = None):
+        super().__init__(message or key)
+        self.key = key
+
+
+def failure_key(cause: BaseException) -> str | None:
+    """The key of a failure that has a known one."""
+    key = getattr(cause, "key", None)
+    return key if isinstance(key, str) and key in FAILURES else None
+
+
 @dataclass
 class Analysis:
     """What was read and found; the apply phase needs nothing else. Write the tables to keep them for a later review."""
@@ -71,7 +85,7 @@ def redact_long(docs: DataFrame, find: Detect = find_patterns, kind: str = "text
 def redact(docs: DataFrame, find: Detect = find_patterns, kind: str = "text", isolate: bool = False) -> DataFrame:
     """The same for whole files with nobody to ask: a document is one row, so one pass over the rows does it all and
     nothing is shuffled. With ``isolate`` a document whose detector fails has no text and its failure as its warning,
-    and the others go on; without, the failure is raised."""
+    by its key if that is a known one, and the others go on; without, the failure is raised."""
 
     def one(text: str) -> tuple:
         try:
@@ -79,7 +93,7 @@ def redact(docs: DataFrame, find: Detect = find_patterns, kind: str = "text", is
         except Exception as e:
             if not isolate:
                 raise
-            return None, 0, [f"failure: {type(e).__name__}: {e}"]
+            return None, 0, [failure_key(e) or f"failure: {type(e).__name__}: {e}"]
 
     def run(batches):
         for b in batches:

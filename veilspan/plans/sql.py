@@ -113,7 +113,7 @@ def masked(texts: str, ranges: str) -> str:
 
 
 def stopwords() -> str:
-    return "(VALUES " + ", ".join(f"('{w}', '{lang}')" for lang, own in STOPWORDS.items() for w in own.split()) + ") AS sw(token, language)"
+    return "(VALUES " + ", ".join(f"('{w}', '{lang}')" for lang, own in STOPWORDS.items() for w in own) + ") AS sw(token, language)"
 
 
 def field_values() -> str:

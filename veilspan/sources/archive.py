@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import io
 import os
+import uuid
 import zipfile
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.sources.formats import clean_path
@@ -18,35 +20,63 @@ def split_extension(name: str) -> tuple[str, str]:
     return (name, "") if at <= 0 else (name[:at], name[at:])
 
 
-def unique_name(name: str, taken: set[str]) -> str:
+def unique_name(name: str, taken: set[str], n: int = 1) -> tuple[str, int]:
+    """The name, or with the first number from ``n`` on that is free, and that number."""
     base, extension = split_extension(name)
-    n, out = 1, name
-    while out in taken:
+    numbered = lambda n: f"{base} ({n}){extension}" if n > 1 else name
+    while numbered(n) in taken:
         n += 1
-        out = f"{base} ({n}){extension}"
-    return out
+    return numbered(n), n
 
 
 def archive_names(names: Iterable[str]) -> list[str]:
     """In order: no name climbs out of its folder, none is empty, none comes twice."""
     taken: set[str] = set()
-    out = []
+    out, last = [], {}
     for name in names:
         parts = [p for p in name.replace("\\", "/").split("/") if p not in ("", ".", "..")]
-        out.append(unique_name("/".join(parts) or "file", taken))
-        taken.add(out[-1])
+        clean = "/".join(parts) or "file"
+        # A number once taken stays so: the search goes on where it ended.
+        entry, last[clean] = unique_name(clean, taken, last.get(clean, 1))
+        out.append(entry)
+        taken.add(entry)
     return out
 
 
+def path_entry(path: Column, name: Column) -> Column:
+    """A result's name in the folder that its file was picked from."""
+    return F.concat(F.regexp_extract(path, r"(?s)^(.*/)?", 0), name)
+
+
 def numbered_names(files: DataFrame, order: str, name: str = "name") -> DataFrame:
-    """``files`` with ``entry``: the cleaned name, the second of a kind as 'base (2).ext'. Names that already look
-    numbered may clash with these; ``archive_names`` settles that for one archive."""
+    """``files`` with ``entry``: the cleaned name, the second of a kind as 'base (2).ext'. Names alike but for such numbers can
+    meet these; they are numbered one after the other as ``archive_names`` does, all names of such a kind in one task."""
     clean = F.when(clean_path(F.col(name)) == "", "file").otherwise(clean_path(F.col(name)))
+    rows = files.withColumn("__clean", clean)
+    # The last dot begins the extension unless it begins the name.
+    dot = F.col("__clean").rlike(r"(?s)^.+\.[^.]*$")
+    base = F.when(dot, F.regexp_extract("__clean", r"(?s)^(.+)\.[^.]*$", 1)).otherwise(F.col("__clean"))
+    ending = F.when(dot, F.regexp_extract("__clean", r"(?s)(\.[^.]*)$", 1)).otherwise(F.lit(""))
+    rows = rows.withColumn("__base", F.regexp_replace(base, r"(?: \([0-9]+\))+$", "")).withColumn("__kind", F.struct("__base", ending.alias("ending")))
+    rows = rows.withColumn("__mixed", F.max(F.length("__base") < F.length(base)).over(Window.partitionBy("__kind"))).drop("__base")
+    plain, mixed = _by_rank(rows.where(~F.col("__mixed")), order), rows.where("__mixed")
+
+    columns = files.columns
+
+    def one_by_one(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        return table.select(columns).append_column("entry", pa.array(archive_names(table["__clean"].to_pylist()), pa.string()))
+
+    numbered = mixed.groupBy("__kind").applyInArrow(one_by_one, files.withColumn("entry", F.lit("")).schema)
+    return plain.unionByName(numbered)
+
+
+def _by_rank(rows: DataFrame, order: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("__clean").orderBy(order))
-    rows = files.withColumn("__clean", clean).withColumn("__n", n)
+    rows = rows.withColumn("__n", n)
     base, ext = F.regexp_extract("__clean", r"(?s)^(.+)(\.[^.]*)$", 1), F.regexp_extract("__clean", r"(?s)^(.+)(\.[^.]*)$", 2)
     numbered = F.when(base == "", F.concat("__clean", F.lit(" ("), "__n", F.lit(")"))).otherwise(F.concat(base, F.lit(" ("), "__n", F.lit(")"), ext))
-    return rows.withColumn("entry", F.when(F.col("__n") == 1, F.col("__clean")).otherwise(numbered)).drop("__clean", "__n")
+    return rows.withColumn("entry", F.when(F.col("__n") == 1, F.col("__clean")).otherwise(numbered)).drop("__clean", "__n", "__kind", "__mixed")
 
 
 def build_zip(files: list[tuple[str, bytes]]) -> bytes:
@@ -68,7 +98,7 @@ def write_zip(path: str, files: list[tuple[str, bytes]]) -> str:
     try:
         taken: set[str] = set()
         while True:
-            target = os.path.join(folder, unique_name(os.path.basename(path), taken))
+            target = os.path.join(folder, unique_name(os.path.basename(path), taken)[0])
             try:
                 os.link(tmp, target)
                 return target
@@ -78,6 +108,26 @@ def write_zip(path: str, files: list[tuple[str, bytes]]) -> str:
         os.unlink(tmp)
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """(entry, size): each row's ``content`` as a file below the folder, which all executors must see. Files come whole and under
+    a name of their own first, so that a repeated task changes nothing."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        for b in batches:
+            where, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder))
+            for entry, content in zip(b["entry"].to_pylist(), b["content"].to_pylist()):
+                home, _, name = f"{base}/{entry}".rpartition("/")
+                where.create_dir(home, recursive=True)
+                with where.open_output_stream(part := f"{home}/.{uuid.uuid4().hex}") as out:
+                    out.write(content)
+                where.move(part, f"{home}/{name}")
+            yield pa.RecordBatch.from_arrays([b["entry"], pa.array([len(c) for c in b["content"].to_pylist()], pa.int64())], ["entry", "size"])
+
+    return rows.select("entry", F.coalesce("content", F.lit(b"")).alias("content")).mapInArrow(write, "entry string, size long")
+
+
 def image_name(name: F.col, mime: F.col):
     """Pixels come out in the type they came in, if it can be written, and as PNG otherwise."""
     return F.when(mime.isin("image/jpeg", "image/png", "image/webp"), name).otherwise(F.concat(F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*$", ""), F.lit(".png")))

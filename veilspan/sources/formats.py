@@ -57,7 +57,13 @@ def fraction_at(stage: Column, done: Column) -> Column:
     return out
 
 
-def read_files(spark: SparkSession, path: str, at_most: int | None = FILES_AT_MOST) -> tuple[DataFrame, DataFrame]:
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the paths that are there."""
+    conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
+    return [p for p in paths if (at := hadoop.Path(p)).getFileSystem(conf).exists(at)]
+
+
+def read_files(spark: SparkSession, path: str | list[str], at_most: int | None = FILES_AT_MOST) -> tuple[DataFrame, DataFrame]:
     """(readable files, dead letters): name, path, format, content. With ``at_most``, the first so many by path, and
     ``limited`` says whether there were more; a limit is the feature of an interactive selection, None reads all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -72,7 +78,7 @@ def read_files(spark: SparkSession, path: str, at_most: int | None = FILES_AT_MO
     return known, dead
 
 
-def read_texts(spark: SparkSession, path: str, at_most: int | None = None) -> DataFrame:
+def read_texts(spark: SparkSession, path: str | list[str], at_most: int | None = None) -> DataFrame:
     """doc_id (the path), name, format and text of csv, json and text files."""
     known, _ = read_files(spark, path, at_most)
     return known.where(F.col("format").isin("csv", "json", "text")).select(F.col("path").alias("doc_id"), "name", "format", F.decode("content", "UTF-8").alias("text"))

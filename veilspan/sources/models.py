@@ -58,6 +58,24 @@ def banked(files: DataFrame, held: DataFrame, chunk: int) -> DataFrame:
     return ranges(files, chunk).join(held, ["url", "start"], "left_semi").groupBy("url").agg(F.sum("size").alias("bytes"))
 
 
+# The ranges of code points that a trimmed vocabulary keeps.
+KEPT_RANGES = (
+    (0x0000, 0x007F), (0x00A0, 0x00FF), (0x0100, 0x017F), (0x0180, 0x024F), (0x0250, 0x02FF), (0x0300, 0x036F),
+    (0x1E00, 0x1EFF), (0x2000, 0x206F), (0x2580, 0x259F), (0x20A0, 0x20CF), (0x2100, 0x214F),
+)
+
+
+def in_kept_ranges(piece: Column) -> Column:
+    """Whether all characters of a vocabulary's piece are in KEPT_RANGES."""
+    return piece.rlike("^[" + "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in KEPT_RANGES) + "]*\\z")
+
+
+def trimmed(vocabulary: DataFrame, protected: DataFrame) -> DataFrame:
+    """``vocabulary`` (piece, old) without pieces of other scripts, those ``protected`` (piece) aside."""
+    own = protected.select("piece").distinct().withColumn("__protected", F.lit(True))
+    return vocabulary.join(own, "piece", "left").where(F.col("__protected").isNotNull() | in_kept_ranges(F.col("piece"))).drop("__protected")
+
+
 def read_json_object(folder: str, name: str) -> dict:
     """A tokenizer's file, which must hold an object."""
     with open(os.path.join(folder, name), encoding="utf-8") as f:
