@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -243,6 +244,61 @@ def test_pipeline_near_duplicates(spark, monkeypatch, odd):
     assert jaccard.keep_first(odd.limit(0)).count() == 0
 
 
+def test_pairs_within_the_radius_that_share_no_band(spark):
+    """Twelve words and two more: similarity 8 / 10, fingerprints within four bits, no MinHash band in common."""
+    texts = []
+    for seed in (289000, 372026, 422228):
+        words = [f"w{seed}x{j}" for j in range(14)]
+        x, y = jaccard.shingles(pa.array([" ".join(words), " ".join(words[:12])]))
+        assert jaccard.similar(x, y, 0.8) and not set(jaccard.bands(x).tolist()) & set(jaccard.bands(y).tolist())
+        texts += [(seed, " ".join(words)), (seed + 1, " ".join(words[:12]))]
+    got = jaccard.keep_first(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == [289000, 372026, 422228]
+
+
+def test_pipeline_links_by_fingerprints(spark, monkeypatch):
+    """What the fingerprints alone link, without bands: all that lies within the radius and is similar, and nothing else."""
+    r = random.Random(8)
+    base = [[f"w{r.randrange(5000)}" for _ in range(120)] for _ in range(12)]
+    texts = []
+    for i in range(150):
+        t = list(r.choice(base))
+        for _ in range(r.randrange(6)):
+            t[r.randrange(120)] = f"n{r.randrange(10**6)}"
+        texts.append((1000 - i, " ".join(t)))
+    sets = jaccard.shingles(pa.array([t for _, t in texts]))
+    bits = [sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in s.tolist()) > len(s)) for s in sets]
+    assert bits == [simhash.of_hashes(s) for s in sets]
+    up = {i: i for i, _ in texts}
+    beyond = 0
+    for x in range(len(texts)):
+        for y in range(x):
+            common = len(set(sets[x].tolist()) & set(sets[y].tolist()))
+            if common >= 0.8 * (len(sets[x]) + len(sets[y]) - common):
+                if (bits[x] ^ bits[y]).bit_count() <= jaccard.RADIUS:
+                    a, b = sorted((up[texts[x][0]], up[texts[y][0]]))
+                    up = {k: a if v == b else v for k, v in up.items()}
+                else:
+                    beyond += 1
+    assert beyond and 12 < len(set(up.values())) < 140
+    monkeypatch.setattr(jaccard, "_banded", lambda classes, folder, least: classes.sparkSession.createDataFrame([], "a long, b long"))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for tile in (4096, 4):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        assert {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(df).collect()} == up
+
+
+@pytest.mark.parametrize("n", [10, 200])
+def test_confirmed_links(n):
+    """Few rows and bit planes: within the radius and confirmed, in one tile and between two."""
+    r = np.random.default_rng(3)
+    fp = r.integers(0, 2**64, 2 * n, dtype=np.uint64)
+    fp[n:] = fp[:n] ^ np.uint64(5)
+    for tile in (np.repeat([0, 1], n), np.zeros(2 * n, int)):
+        got = simhash.meeting(fp, tile, 2, lambda i, j: min(i, j) % 2 == 0)
+        assert sorted(got) == [(i, i + n) for i in range(0, n, 2)]
+
+
 # ---------------------------------------------------------------- neighbours
 
 

@@ -1,10 +1,14 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
-A SimHash radius that holds similarity 0.8 would be about a quarter of the bits, where blocks of bits no longer tell texts
-apart. So candidates come from MinHash: BANDS keys of ROWS minima each, and texts meet where a key agrees. A pair of
-similarity 0.8 misses every band with probability (1 - 0.8 ** 5) ** 24 = 7e-5. Every candidate is confirmed by both whole sets
-of shingle hashes, which lie in files of the shared folder; within a meeting, pairs that are connected already are left out.
-Large buckets are cut into tiles as in ``simhash``.
+Texts get ``simhash``'s fingerprints, of majority bits over the shingles. As there, those within RADIUS bits agree in a choice
+of blocks, meet in its bucket and are compared by bit planes; all of them are found, and confirmed by both whole sets of shingle
+hashes, which lie in files of the shared folder.
+
+A radius that holds similarity 0.8 would be about a quarter of the bits, where blocks of bits no longer tell texts apart. So
+beyond the radius candidates come from MinHash too: BANDS keys of ROWS minima each, and texts meet where a key agrees. They are
+confirmed by the same sets. A pair of similarity 0.8 that is farther apart than the radius misses every band with probability
+(1 - 0.8 ** 5) ** 24 = 7e-5. Within a meeting, pairs that are connected already are left out. Large buckets are cut into tiles
+as in ``simhash``.
 
 Defined cases: as in ``simhash``; texts without a word are copies of each other.
 """
@@ -23,6 +27,8 @@ from veilspan.llm import simhash
 
 U64 = np.uint64
 WIDTH, LEAST = 5, 0.8
+#: Bits in which fingerprints differ that are found by their blocks.
+RADIUS = 4
 BANDS, ROWS = 24, 5
 #: Rows of a tile, and hashes of the sets that a meeting holds at once.
 TILE, HELD = 1024, 1 << 20
@@ -71,19 +77,29 @@ def _read(folder: str, file: int, at: int, n: int) -> np.ndarray:
     return C.map_file(folder, f"sets-{file:016x}")[8 * at : 8 * (at + n)].view("<u8")
 
 
-def meeting(load, n: np.ndarray, tile: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the similar pairs within one tile, or between two; ``load(i)`` has row i's set."""
-    a = np.flatnonzero(tile == 0)
-    b = np.flatnonzero(tile == 1) if tile.any() else a
-    root, out, held = np.arange(len(n)), [], {}
+def _holding(load):
+    """``load(i)``, row i's set, with sets of HELD hashes kept."""
+    held, n = {}, 0
 
     def own(i):
+        nonlocal n
         if i not in held:
-            if sum(len(s) for s in held.values()) > HELD:
+            if n > HELD:
                 held.clear()
+                n = 0
             held[i] = load(i)
+            n += len(held[i])
         return held[i]
 
+    return own
+
+
+def meeting(load, n: np.ndarray, tile: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs within one tile, or between two; ``load(i)`` has row i's set."""
+    a = np.flatnonzero(tile == 0)
+    b = np.flatnonzero(tile == 1) if tile.any() else a
+    root, out, own = np.arange(len(n)), [], _holding(load)
+
     for place, i in enumerate(b.tolist()):
         left = a[:place] if b is a else a
         left = left[(np.minimum(n[left], n[i]) + 1e-9 >= least * np.maximum(n[left], n[i])) & (root[left] != root[i])]
@@ -97,7 +113,32 @@ def meeting(load, n: np.ndarray, tile: np.ndarray, least: float) -> list[tuple[i
     return out
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _close(classes: DataFrame, folder: str, radius: int, least: float) -> DataFrame:
+    """Links (a < b, nodes) that connect what is similar and has fingerprints within the radius."""
+    names = ["node", "fp", "file", "at", "n"]
+
+    def pairs(tile, node, fp, file, at, n):
+        own = _holding(lambda i: _read(folder, int(file[i]), int(at[i]), int(n[i])))
+        found = simhash.meeting(fp.view(U64), tile, radius, lambda i, j: similar(own(i), own(j), least))
+        return [(int(node[i]), int(node[j])) for i, j in found]
+
+    nodes = classes.select("node", F.col("bits").alias("fp"), "file", "at", "n")
+    met = simhash.meetings(simhash.blocks(nodes, names, radius), names, simhash.TILE)
+    return met.mapInArrow(lambda batches: simhash.met(batches, ("tile", *names), pairs), "a long, b long").distinct()
+
+
+def _banded(classes: DataFrame, folder: str, least: float) -> DataFrame:
+    """Links (a < b, nodes) that connect what is similar and shares a band."""
+    names = ["node", "file", "at", "n"]
+
+    def pairs(tile, node, file, at, n):
+        return [(int(node[i]), int(node[j])) for i, j in meeting(lambda i: _read(folder, int(file[i]), int(at[i]), int(n[i])), n, tile, least)]
+
+    met = simhash.meetings(classes.select(*names, F.explode("bands").alias("bucket")), names, TILE)
+    return met.mapInArrow(lambda batches: simhash.met(batches, ("tile", *names), pairs), "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """key and component_id for every row of ``docs``: which texts link, directly or through others."""
     import xxhash
 
@@ -111,19 +152,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, k
             file = secrets.randbits(63)
             C.put_file(folder, f"sets-{file:016x}", [s.tobytes() for s in own])
             fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], U64).view(np.int64)
+            bits = np.array([simhash.of_hashes(s) for s in own], U64).view(np.int64)
             keys = [bands(s).view(np.int64).tolist() for s in own]
-            yield pa.RecordBatch.from_arrays([b["__key"], pa.array(fp), pa.array(np.full(len(n), file)), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(keys, pa.list_(pa.int64()))], [key, "fp", "file", "at", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b["__key"], pa.array(fp), pa.array(bits), pa.array(np.full(len(n), file)), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(keys, pa.list_(pa.int64()))], [key, "fp", "bits", "file", "at", "n", "bands"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = C.written(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(sets, f"`{key}` {kind}, fp long, file long, at long, n long, bands array<long>"), "shingles")
-    first = rows.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(F.struct(F.col(key).alias("node"), "file", "at", "n", "bands")).alias("r"))
+    rows = C.written(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(sets, f"`{key}` {kind}, fp long, bits long, file long, at long, n long, bands array<long>"), "shingles")
+    first = rows.where(F.col(key).isNotNull()).groupBy("fp").agg(F.min(F.struct(F.col(key).alias("node"), "bits", "file", "at", "n", "bands")).alias("r"))
     classes = C.written(first.select("fp", "r.*"), "classes")
-    met = simhash.meetings(classes.select("node", "file", "at", "n", F.explode("bands").alias("bucket")), ["node", "file", "at", "n"], TILE)
-
-    def pairs(tile, node, file, at, n):
-        return [(int(node[i]), int(node[j])) for i, j in meeting(lambda i: _read(folder, int(file[i]), int(at[i]), int(n[i])), n, tile, least)]
-
-    links = met.mapInArrow(lambda batches: simhash.met(batches, ("tile", "node", "file", "at", "n"), pairs), "a long, b long").distinct()
+    links = _close(classes, folder, radius, least).union(_banded(classes, folder, least))
     found = simhash.components(links.union(simhash._shared_ids(rows, classes, key)))
     named = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return rows.select(key, "fp").join(named, "fp", "left").select(key, F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))

@@ -8,7 +8,7 @@ tiles when it is large, and every two tiles of a bucket meet in one task of boun
 Within a meeting the bit planes stand vertically: plane b holds bit b of 64 fingerprints in a word. A fingerprint is compared
 with all others at once: the planes that differ from it are added into bit-sliced counters by carry-save adders, counters
 beyond the radius saturate, and a block of 64 is abandoned when all its lanes have. Links leave a meeting as a spanning forest.
-Links of all meetings are joined to components by label propagation over tables in the shared folder.
+Links of all meetings are joined to components by large and small stars over tables in the shared folder.
 
 Defined cases: a null or empty text has no shingle and fingerprint 0, and links like any other; a text of fewer words than a
 shingle has is one shingle; words and repeats count as they stand; rows without an id get a fingerprint and no component;
@@ -51,11 +51,27 @@ def fingerprint(text: str | None, width: int, seed: int) -> int:
     count = np.zeros(BITS, np.int64)
     for lo in range(0, n, 1 << 16):  # so that a long text's hashes are never all held
         hi = min(n, lo + (1 << 16))
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())], "<u8")
-        count += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        count += _set_bits(np.array([digest(joined[s:e], seed) for s, e in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())], "<u8"))
+    return _majority(count, n)
+
+
+def _set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(count: np.ndarray, n: int) -> int:
     return int(np.packbits(count * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles that are hashed already; 0 without any."""
+    count = np.zeros(BITS, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        count += _set_bits(hashes[lo : lo + (1 << 16)])
+    return _majority(count, len(hashes))
+
+
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` and fp (long, the 64 bits)."""
     keep = C.kept(keep, ["fp"])
@@ -161,16 +177,21 @@ class Forest:
         return True
 
 
-def meeting(fp: np.ndarray, tile: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one tile, or between two. Rows of tile 1 are compared with those of tile 0."""
+def meeting(fp: np.ndarray, tile: np.ndarray, radius: int, confirm=None) -> list[tuple[int, int]]:
+    """A spanning forest of the links within one tile, or between two. Rows of tile 1 are compared with those of tile 0. With
+    ``confirm(i, j)`` only rows of which it is true link; it is not asked about rows that are connected already."""
     forest, out = Forest(len(fp)), []
+
+    def join(i, j):
+        return (confirm is None or (forest.find(i) != forest.find(j) and confirm(i, j))) and forest.join(i, j)
+
     a = np.flatnonzero(tile == 0)
     b = np.flatnonzero(tile == 1) if tile.any() else a
     alone = b is a
     if len(a) * len(b) <= 4096:  # few: word-parallel planes don't pay
         d = np.bitwise_count(fp[b][:, None] ^ fp[a][None, :]) <= radius
         pairs = np.argwhere(np.tril(d, -1) if alone else d)
-        return [(int(a[j]), int(b[i])) for i, j in pairs.tolist() if forest.join(int(a[j]), int(b[i]))]
+        return [(int(a[j]), int(b[i])) for i, j in pairs.tolist() if join(int(a[j]), int(b[i]))]
     own = planes(fp[a])
     for lo in range(0, len(b), TOGETHER):
         q = b[lo : lo + TOGETHER]
@@ -186,7 +207,7 @@ def meeting(fp: np.ndarray, tile: np.ndarray, radius: int) -> list[tuple[int, in
             at = np.minimum(at, len(a) - 1)
             sound &= root[a[at]] != root[who]
         for j, i in zip(a[at[sound]].tolist(), who[sound].tolist()):
-            if j != i and forest.join(j, i):
+            if (j < i if alone else j != i) and join(j, i):
                 out.append((j, i))
     return out
 
@@ -207,7 +228,16 @@ def _choices(rows: int, radius: int) -> list[list[tuple[int, int]]]:
 
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """``nodes``: node (long), fp (long), distinct. Links (a < b, nodes) that connect what lies within the radius."""
-    spark = nodes.sparkSession
+    rows = blocks(nodes, ["node", "fp"], radius)
+
+    def pairs(tile, node, fp):
+        return [(int(node[i]), int(node[j])) for i, j in meeting(fp.view(U64), tile, radius)]
+
+    return meetings(rows, ["node", "fp"], TILE).mapInArrow(lambda batches: met(batches, ("tile", "node", "fp"), pairs), "a long, b long").distinct()
+
+
+def blocks(nodes: DataFrame, keep: list[str], radius: int) -> DataFrame:
+    """``nodes`` (fp and the columns to keep) once for each choice of blocks of bits that must agree; those bits are the bucket."""
     choices = _choices(nodes.count(), radius)
     fp = F.col("fp")
 
@@ -215,12 +245,7 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         return F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << n) - 1 if n < 63 else -1).cast("long"))
 
     keys = [F.struct(F.lit(i).alias("choice"), *(part(lo, n).alias(f"k{j}") for j, (lo, n) in enumerate(c))) for i, c in enumerate(choices)]
-    rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("bucket"))
-
-    def pairs(tile, node, fp):
-        return [(int(node[i]), int(node[j])) for i, j in meeting(fp.view(U64), tile, radius)]
-
-    return meetings(rows, ["node", "fp"], TILE).mapInArrow(lambda batches: met(batches, ("tile", "node", "fp"), pairs), "a long, b long").distinct()
+    return nodes.select(*keep, F.explode(F.array(*keys)).alias("bucket"))
 
 
 def meetings(rows: DataFrame, keep: list[str], tile_rows: int) -> DataFrame:
