@@ -1,10 +1,13 @@
 """Patterns, checks and the two ways of extraction."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from veilspan.functions import checks
-from veilspan.operators.extract import absorb, dictionary, find_patterns, native_spans, pattern_spans, tighten, with_patterns
+from veilspan.functions import patterns as P
+from veilspan.operators.extract import absorb, dictionary, find_patterns, native_places, native_spans, pattern_spans, spread, tighten, with_patterns
 
 VALID = {"cpf": ["529.982.247-25", "52998224725"], "cnpj": ["11.222.333/0001-81"], "iban": ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"], "dni": ["12345678Z", "X1234567L"], "card": ["4111 1111 1111 1111", "4012-8888-8888-1881"]}
 INVALID = {"cpf": ["529.982.247-24", "111.111.111-11", "123"], "cnpj": ["11.222.333/0001-80", "00000000000000"], "iban": ["GB83 WEST 1234 5698 7654 32"], "dni": ["12345678A", "1234567"], "card": ["4111 1111 1111 1112", "411111111111"]}
@@ -61,3 +64,44 @@ def test_absorb_and_tighten():
     assert tighten([(0, 15, "private_email", 0.8)], [(9, 15, "private_email", 1.0)], text) == [(9, 15, "private_email", 1.0)]
     assert len(tighten([(9, 23, "private_email", 0.8)], [(9, 15, "private_email", 1.0)], text)) == 2
     assert with_patterns(dictionary({"today": ("private_date", 0.7)}))(text) == [(16, 21, "private_date", 0.7), (9, 15, "private_email", 1.0)]
+
+
+def _odd_texts(n, seed=7):
+    r = random.Random(seed)
+    bits = ["@", "a@b.co", "x@y", ".", ".com", "-", "9", "_", "%", " ", "\n", "\u00a0", "é", "ſ", "K", "\u0345", "529.982.247-25", "52998224725", "11.222.333/0001-81", "GB82WEST12345698765432", "12345678Z", "4111 1111 1111 1111", "+55 11 91234-5678", "(11) 1234-5678", "2019-2020", "RG: 1234567", "CNH 123456789", "CEP 12345-678", "Rua das Flores, 12", "01/02/2021", "2 de março de 2019", "march 3, 2020", "ſeptember 4", "b"]
+    return ["".join(r.choice(bits) for _ in range(r.randrange(1, 14))) for _ in range(n)]
+
+
+def test_outwards_is_the_pattern():
+    email = P.by_id("email")
+    rx, found = P.python(email), P.outwards(email)
+    for text in _odd_texts(20_000):
+        assert list(found(text)) == [m.span() for m in rx.finditer(text)], text
+
+
+def test_native_places_are_the_matches(spark):
+    texts = [t.replace("\u0345", "") or " " for t in _odd_texts(3_000, 8)]  # a mark that folds to a letter: one engine's letters hold it
+    rows = native_places(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), [p.id for p in P.PATTERNS], keep=("doc_id",)).collect()
+    assert len(rows) == len(texts)
+    for p in P.PATTERNS:
+        rx = P.python(p)
+        for row in rows:
+            want = [m.span(int(p.value)) for m in rx.finditer(texts[row["doc_id"]]) if p.verify is None or P.VERIFY[p.verify](m[int(p.value)])]
+            assert [(s["start"], s["end"]) for s in row[p.id]] == want, (p.id, texts[row["doc_id"]])
+
+
+def test_heavy_work_is_dealt_over_the_cores(spark, tmp_path):
+    """A file of keys alone is one split; what is done with each key is heavy."""
+    spark.range(5_000).selectExpr("id AS o_orderkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    keys = spark.read.parquet(str(tmp_path / "orders.parquet"))
+    assert keys.rdd.getNumPartitions() == 1
+    dealt = spread(keys, "o_orderkey")
+    assert dealt.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and dealt.distinct().count() == 5_000
+
+
+def test_native_reads_its_texts_once(spark, tmp_path):
+    from veilspan.plans import queries as Q
+
+    spark.range(50).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    plan = Q.QUERIES["q51b_planted_by_pattern"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
