@@ -39,9 +39,9 @@ def as_term(value: Column) -> Column:
     return F.regexp_replace(folded(value), r"(?iu)^(?:the|an?|el|l[ao]s?|un[ao]?|[ao]s?)[" + WS + "]+", "")
 
 
-def value_key(value: Column) -> Column:
-    """What makes two values one: letters and numbers only, without marks, in lower case."""
-    return F.lower(F.regexp_replace(plain(value), r"[^\p{L}\p{N}]", ""))
+def value_key(value: Column, accents: bool = False) -> Column:
+    """What makes two values one: letters and numbers only, in lower case, and without marks unless ``accents`` tell values apart."""
+    return F.lower(F.regexp_replace(value if accents else plain(value), r"[^\p{L}\p{N}]", ""))
 
 
 def field_key(name: Column) -> Column:
@@ -53,9 +53,9 @@ def preview(value: Column, graphemes: int = PREVIEW) -> Column:
     return F.regexp_extract(value, r"^\X{0," + str(graphemes) + "}", 0)
 
 
-def blocks(value: Column) -> Column:
-    """One block a grapheme, line breaks kept."""
-    return F.regexp_replace(value, r"(?![\r\n\x{2028}\x{2029}])\X", MASK)
+def blocks(value: Column, breaks: bool = True) -> Column:
+    """One block a grapheme, line breaks kept; without ``breaks`` each of their characters is a block too."""
+    return F.regexp_replace(value, (r"(?![\r\n\x{2028}\x{2029}])" if breaks else r"[\r\n]|") + r"\X", MASK)
 
 
 def is_masked(value: Column) -> Column:

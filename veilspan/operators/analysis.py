@@ -109,19 +109,20 @@ def marks_by_position(spans: DataFrame, readings: DataFrame) -> DataFrame:
     return kept.withColumn("detection_id", ident)
 
 
-def marks_by_value(spans: DataFrame, readings: DataFrame) -> DataFrame:
-    """Scans: a value is one decision, whichever reading shows it; a place is marked once for a value."""
+def marks_by_value(spans: DataFrame, readings: DataFrame, accents: bool = False) -> DataFrame:
+    """Scans: a value is one decision, whichever reading shows it; a place is marked once for a value. With ``accents`` values that
+    differ in marks only are two."""
     scans = readings.where("is_scan").select(*READING, "page", "text")
     v = with_value(spans, scans.select(*READING, "text"), READING).select(*SPAN_COLUMNS).join(scans.select(*READING, "page"), list(READING))
-    ident = F.concat(F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit(":"), F.col("label"), F.lit(":"), X.value_key(F.col("value")))
+    ident = F.concat(F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit(":"), F.col("label"), F.lit(":"), X.value_key(F.col("value"), accents))
     v = v.withColumn("detection_id", ident)
     return v.groupBy(*READING, "page", "start", "end", "label", "value", "detection_id").agg(F.max("score").alias("score"))
 
 
-def marks(spans: DataFrame, readings: DataFrame) -> DataFrame:
+def marks(spans: DataFrame, readings: DataFrame, accents: bool = False) -> DataFrame:
     """(reading, page, start, end, label, score, value, detection_id) of typed readings and scans."""
     names = [*READING, "page", "start", "end", "label", "score", "value", "detection_id"]
-    return marks_by_position(spans, readings).select(*names).unionByName(marks_by_value(spans, readings).select(*names))
+    return marks_by_position(spans, readings).select(*names).unionByName(marks_by_value(spans, readings, accents).select(*names))
 
 
 def detections(marks_: DataFrame) -> DataFrame:
@@ -147,8 +148,8 @@ def kept(marks_: DataFrame, decisions: DataFrame) -> DataFrame:
     return marks_.join(decisions.select("doc_id", "detection_id").distinct(), ["doc_id", "detection_id"], "left_semi")
 
 
-def redaction_counts(kept_: DataFrame, readings: DataFrame) -> DataFrame:
+def redaction_counts(kept_: DataFrame, readings: DataFrame, accents: bool = False) -> DataFrame:
     """(doc_id, redaction_count): of a unit's readings a value counts as often as in the one that shows it most."""
     merged = merged_values(with_value(kept_, readings.select(*READING, "text"), READING), READING)
-    each = merged.groupBy(*READING, X.value_key(F.col("value")).alias("key")).count()
+    each = merged.groupBy(*READING, X.value_key(F.col("value"), accents).alias("key")).count()
     return each.groupBy("doc_id", "unit_no", "key").agg(F.max("count").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("redaction_count"))

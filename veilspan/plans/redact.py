@@ -65,10 +65,11 @@ def analyse_readings(readings: DataFrame, find: Detect = find_patterns) -> tuple
     return marks, A.detections(marks)
 
 
-def apply(analysis: Analysis, decisions: DataFrame, find: Detect = find_patterns, kind: str = "text") -> DataFrame:
-    """(doc_id, text, redaction_count, warnings): the analysed text with what was decided covered, read again."""
+def apply(analysis: Analysis, decisions: DataFrame, find: Detect = find_patterns, kind: str = "text", breaks: bool = True) -> DataFrame:
+    """(doc_id, text, redaction_count, warnings): the analysed text with what was decided covered, read again. Line breaks inside
+    what is covered stay, unless ``breaks`` is false."""
     kept = A.kept(analysis.marks, decisions)
-    masked = mask_texts(analysis.readings.select("doc_id", "text"), merge_ranges(kept.select("doc_id", "start", "end")))
+    masked = mask_texts(analysis.readings.select("doc_id", "text"), merge_ranges(kept.select("doc_id", "start", "end")), breaks=breaks)
     counts = A.redaction_counts(kept, analysis.readings)
     out = masked.join(counts, "doc_id", "left").fillna(0, ["redaction_count"]).join(analysis.warnings, "doc_id")
     visible = F.udf(csv_body, "string", useArrow=True)("text") if kind == "csv" else F.col("text")
@@ -76,20 +77,20 @@ def apply(analysis: Analysis, decisions: DataFrame, find: Detect = find_patterns
     return seen.select("doc_id", "text", "redaction_count", "warnings")
 
 
-def redact_long(docs: DataFrame, find: Detect = find_patterns, kind: str = "text") -> DataFrame:
+def redact_long(docs: DataFrame, find: Detect = find_patterns, kind: str = "text", breaks: bool = True) -> DataFrame:
     """Analyse, take the default decisions, apply: by windows and joins, as a review would go."""
     a = analyse(docs, find, kind)
-    return apply(a, A.default_decisions(a.detections), find, kind)
+    return apply(a, A.default_decisions(a.detections), find, kind, breaks)
 
 
-def redact(docs: DataFrame, find: Detect = find_patterns, kind: str = "text", isolate: bool = False) -> DataFrame:
+def redact(docs: DataFrame, find: Detect = find_patterns, kind: str = "text", isolate: bool = False, breaks: bool = True) -> DataFrame:
     """The same for whole files with nobody to ask: a document is one row, so one pass over the rows does it all and
     nothing is shuffled. With ``isolate`` a document whose detector fails has no text and its failure as its warning,
     by its key if that is a known one, and the others go on; without, the failure is raised."""
 
     def one(text: str) -> tuple:
         try:
-            return redact_one(text, find, kind)
+            return redact_one(text, find, kind, breaks)
         except Exception as e:
             if not isolate:
                 raise
@@ -149,7 +150,7 @@ def _terms(text: str, spans: list) -> set[str]:
     return out
 
 
-def redact_one(text: str, find: Detect = find_patterns, kind: str = "text") -> tuple[str, int, list[str]]:
+def redact_one(text: str, find: Detect = find_patterns, kind: str = "text", breaks: bool = True) -> tuple[str, int, list[str]]:
     """One text inside a Python worker: (masked, redactions, warnings)."""
     body, _ = STRUCTURES[kind]
     if not text:
@@ -176,7 +177,8 @@ def redact_one(text: str, find: Detect = find_patterns, kind: str = "text") -> t
             covered.append([lo, hi])
     out, at = [], 0
     for lo, hi in covered:
-        out += [text[at:lo], _rx("grapheme", r"(?![\r\n\u2028\u2029])\X", False).sub(MASK, text[lo:hi])]
+        grapheme = _rx("grapheme", r"(?![\r\n\u2028\u2029])\X", False) if breaks else _rx("any grapheme", r"[\r\n]|\X", False)
+        out += [text[at:lo], grapheme.sub(MASK, text[lo:hi])]
         at = hi
     masked = "".join([*out, text[at:]])
     seen = body(masked)
